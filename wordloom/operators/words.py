@@ -135,9 +135,9 @@ def sentence_openers(words: DataFrame, pause_ms: int, n: int = 3) -> DataFrame:
     )
 
 
-def duplicate_openers(words: DataFrame, pause_ms: int) -> DataFrame:
-    """Sentences that open with the same tokens as the sentence before."""
-    o = sentence_openers(words, pause_ms)
+def duplicate_openers(words: DataFrame, pause_ms: int, n: int = 3) -> DataFrame:
+    """Sentences that open with the same ``n`` tokens as the sentence before."""
+    o = sentence_openers(words, pause_ms, n)
     return (
         neighbours(o, CLIP, "sentence", {"prev_opener": ("opener", -1)})
         .where("opener = prev_opener")

@@ -1,5 +1,6 @@
 from wordloom.plans import (  # noqa: F401
     word_plans,
+    interval_plans,
 )
 from wordloom.plans.registry import ORACLES, QUERIES
 

@@ -27,6 +27,8 @@ def with_views(sql: str) -> str:
     if not needed:
         return body
     ctes = ",\n".join(f"{n} AS (\n{VIEWS[n]}\n)" for n in needed)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
@@ -164,3 +166,101 @@ view(
            FROM raw_edl"""
     ),
 )
+
+
+# -- interval inputs -----------------------------------------------------------------------
+
+view(
+    "marks",
+    """
+SELECT clip_id, pos, start_ms, start_ms + 100 * length(word) + (pos % 5) * 400 AS end_ms
+FROM words WHERE length(word) >= 6 AND pos % 3 <> 1
+""",
+)
+view(
+    "drops",
+    """
+SELECT clip_id, min(start_ms) AS start_ms, coalesce(max(next_start), max(end_ms)) AS end_ms
+FROM sented WHERE sentence % 5 IN (2, 3) GROUP BY clip_id, sentence
+""",
+)
+view("clips", "SELECT clip_id, max(end_ms) AS total_ms FROM words GROUP BY clip_id")
+view(
+    "hooks",
+    """
+SELECT clip_id, CAST(k AS BIGINT) AS hook, CAST(4000 * k AS BIGINT) AS start_ms,
+       CAST(4000 * k + 4000 AS BIGINT) AS end_ms
+FROM clips, (SELECT unnest(range(3)) AS k)
+""",
+)
+view(
+    "cues",
+    """
+SELECT clip_id, pos, ['video', 'logo', 'image', 'card'][(pos % 4) + 1] AS kind, lower(word) AS name,
+       start_ms, start_ms + 2500 + (pos % 3) * 500 AS end_ms
+FROM words WHERE length(word) >= 9
+""",
+)
+view(
+    "manual",
+    "SELECT clip_id, total_ms // 3 AS start_ms, total_ms // 3 + 3000 AS end_ms FROM clips",
+)
+
+
+def islands(source: str, touch: int) -> str:
+    return f"""
+SELECT clip_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM (
+  SELECT *, sum(CASE WHEN reach IS NULL OR start_ms > reach + {touch} THEN 1 ELSE 0 END)
+             OVER (PARTITION BY clip_id ORDER BY start_ms, end_ms) AS island
+  FROM (SELECT *, max(end_ms) OVER (PARTITION BY clip_id ORDER BY start_ms, end_ms
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ({source})))
+GROUP BY clip_id, island"""
+
+
+view("cut_runs", islands("SELECT clip_id, start_ms, end_ms FROM edl WHERE NOT keep", 1))
+view(
+    "edl_base",
+    """
+SELECT clip_id, coalesce(min(start_ms) FILTER (keep), 0) AS first_keep,
+       CAST(coalesce(sum(end_ms - start_ms) FILTER (keep), 0) AS BIGINT) AS kept_ms
+FROM edl GROUP BY clip_id
+""",
+)
+
+
+def remap(points: str, at: str, edl: str = "edl", base: str = "edl_base") -> str:
+    """Rows of ``points`` with ``out_ms``: output time of column ``at``."""
+    return f"""
+SELECT q.* EXCLUDE (rid, snapped, first_keep),
+       greatest(0, CAST(snapped - first_keep - coalesce((SELECT sum(c.end_ms - c.start_ms) FROM {edl} c
+          WHERE NOT c.keep AND c.clip_id = q.clip_id AND c.start_ms >= q.first_keep AND c.end_ms <= q.snapped), 0) AS BIGINT)) AS out_ms
+FROM (
+  SELECT p.*, b.first_keep, coalesce((SELECT min(c.start_ms) FROM {edl} c WHERE NOT c.keep AND c.clip_id = p.clip_id
+           AND c.start_ms <= p.{at} AND p.{at} < c.end_ms), p.{at}) AS snapped
+  FROM (SELECT *, row_number() OVER () AS rid FROM {points}) p JOIN {base} b USING (clip_id)) q
+"""
+
+
+def split_edl(edl: str, spans: str, reason: str, cuts_too: bool = False) -> str:
+    """``edl`` cut at the edges of ``spans``; pieces inside carry ``reason``."""
+    touched = "true" if cuts_too else "e.keep"
+    flat = islands(f"SELECT clip_id, start_ms, end_ms FROM ({spans})", 0)
+    return f"""
+SELECT clip_id, a AS start_ms, b AS end_ms, keep AND NOT hit AS keep,
+       CASE WHEN hit THEN '{reason}' ELSE reason END AS reason
+FROM (
+  SELECT p.clip_id, p.a, p.b, p.keep, p.reason, s.clip_id IS NOT NULL AS hit
+  FROM (
+    SELECT clip_id, keep, reason, es, pt AS a, lead(pt) OVER (PARTITION BY clip_id, es, ee ORDER BY pt) AS b
+    FROM (
+      SELECT DISTINCT clip_id, es, ee, keep, reason, pt FROM (
+        SELECT e.clip_id, e.start_ms AS es, e.end_ms AS ee, e.keep, e.reason,
+               unnest([e.start_ms, e.end_ms]) AS pt FROM ({edl}) e
+        UNION ALL
+        SELECT e.clip_id, e.start_ms, e.end_ms, e.keep, e.reason, s.pt
+        FROM ({edl}) e JOIN (SELECT clip_id, unnest([start_ms, end_ms]) AS pt FROM ({flat})) s
+          ON s.clip_id = e.clip_id AND s.pt > e.start_ms AND s.pt < e.end_ms WHERE {touched}))) p
+  LEFT JOIN ({flat}) s ON s.clip_id = p.clip_id AND s.start_ms <= p.a AND s.end_ms >= p.b
+       AND ({'true' if cuts_too else 'p.keep'})
+  WHERE p.b IS NOT NULL)
+"""

@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from wordloom.plans.oracle_views import with_views
 from wordloom.plans.workspace import Workspace
 
 QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {}  # as written; ``oracle_views.with_views`` puts the views in front
 
 
 def query(name: str, sql: str | None = None):
@@ -21,7 +20,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = lambda spark, sf_dir: fn(Workspace.open(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = sql
         return fn
 
     return add

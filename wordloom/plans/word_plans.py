@@ -8,6 +8,7 @@ from wordloom.functions import text as tx
 from wordloom.operators import gaps as gp
 from wordloom.operators import words as wd
 from wordloom.params import SHIPPED
+from wordloom.plans.oracle_views import view
 from wordloom.plans.registry import query
 
 PAUSE = SHIPPED.sentence_pause_ms
@@ -114,14 +115,14 @@ def chunks(ws):
 SELECT clip_id, sentence, start_ms, opener FROM (
   SELECT *, lag(opener) OVER (PARTITION BY clip_id ORDER BY sentence) AS po FROM (
     SELECT clip_id, sentence, min(start_ms) AS start_ms,
-           CASE WHEN count(*) FILTER (tok <> '') >= 3 THEN string_agg(tok, ' ' ORDER BY pos) END AS opener
+           CASE WHEN count(*) FILTER (tok <> '') >= 1 THEN string_agg(tok, ' ' ORDER BY pos) END AS opener
     FROM (SELECT *, lower(regexp_replace(word, '[^\p{L}\p{N}_'']', '', 'g')) AS tok,
                  row_number() OVER (PARTITION BY clip_id, sentence ORDER BY pos) AS rn FROM sented)
-    WHERE rn <= 3 GROUP BY clip_id, sentence))
+    WHERE rn <= 1 GROUP BY clip_id, sentence))
 WHERE opener = po
 """)
 def openers(ws):
-    return wd.duplicate_openers(ws.words(), PAUSE)
+    return wd.duplicate_openers(ws.words(), PAUSE, 1)
 
 
 LINES_SQL = """
@@ -136,6 +137,9 @@ FROM (
 """
 
 
+view("line_words", LINES_SQL)
+
+
 def lines_of(ws):
     return wd.caption_lines(ws.words(), per_line=4, grace_ms=500, pause_ms=PAUSE)
 
@@ -219,11 +223,11 @@ def gap_of_pair(ws):
 
 
 @query("p14_wide_words", """
-SELECT clip_id, pos, word, end_ms - start_ms AS span_ms FROM words WHERE end_ms - start_ms >= 1500
+SELECT clip_id, pos, word, end_ms - start_ms AS span_ms FROM words_docs WHERE end_ms - start_ms >= 1500
 """)
 def wide(ws):
     span = F.col("end_ms") - F.col("start_ms")
-    return ws.words().where(span >= 1500).select("clip_id", "pos", "word", span.alias("span_ms"))
+    return ws.words("documents").where(span >= 1500).select("clip_id", "pos", "word", span.alias("span_ms"))
 
 
 @query("a14_sentence_sanity", """

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
 from wordloom.functions.scan import running_sum, scan
+from wordloom.operators import words as wd
 from wordloom.operators.gaps import cut_list, gap_table
 from wordloom.params import SHIPPED
 from wordloom.session import work_dir
@@ -82,6 +83,57 @@ class Workspace:
         """Base cut list of the conversations, no sound features."""
         return self.stored("edl", lambda: cut_list(self.words(), self.gaps(), SHIPPED))
 
+    # -- interval inputs -----------------------------------------------------------------
+
+    def marks(self) -> DataFrame:
+        w = self.words().where((F.char_length("word") >= 6) & (F.col("pos") % 3 != 1))
+        length = 100 * F.char_length("word") + (F.col("pos") % 5) * 400
+        return w.select("clip_id", "pos", "start_ms", (F.col("start_ms") + length).alias("end_ms"))
+
+    def drops(self) -> DataFrame:
+        """Some sentences, each up to the next sentence's start."""
+        s = wd.numbered_sentences(self.words(), SHIPPED.sentence_pause_ms)
+        return (
+            s.where((F.col("sentence") % 5).isin(2, 3))
+            .groupBy("clip_id", "sentence")
+            .agg(
+                F.min("start_ms").alias("start_ms"),
+                F.coalesce(F.max("next_start"), F.max("end_ms")).alias("end_ms"),
+            )
+            .drop("sentence")
+        )
+
+    def clips(self) -> DataFrame:
+        return self.words().groupBy("clip_id").agg(F.max("end_ms").alias("total_ms"))
+
+    def hooks(self) -> DataFrame:
+        k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))
+        return self.clips().select("clip_id", k.alias("hook")).select(
+            "clip_id",
+            "hook",
+            (F.col("hook") * 4000).alias("start_ms"),
+            (F.col("hook") * 4000 + 4000).alias("end_ms"),
+        )
+
+    def cues(self) -> DataFrame:
+        kinds = F.array(*[F.lit(k) for k in ("video", "logo", "image", "card")])
+        return (
+            self.words()
+            .where(F.char_length("word") >= 9)
+            .select(
+                "clip_id",
+                "pos",
+                F.get(kinds, (F.col("pos") % 4).cast("int")).alias("kind"),
+                F.lower("word").alias("name"),
+                "start_ms",
+                (F.col("start_ms") + 2500 + (F.col("pos") % 3) * 500).alias("end_ms"),
+            )
+        )
+
+    def manual(self) -> DataFrame:
+        a = F.floor(F.col("total_ms") / 3)
+        return self.clips().select("clip_id", a.alias("start_ms"), (a + 3000).alias("end_ms"))
+
 
 def timed_words(rows: DataFrame) -> DataFrame:
     """Tokens of ``rows(clip_id, turn, text)`` laid on a millisecond timeline.
