@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wordloom.functions.settle import settle
+
 DEFAULT_BLOCK_ROWS = 65_536
 DEFAULT_BLOCK_MS = 600_000
 
@@ -89,10 +91,12 @@ def scan(
 ) -> DataFrame:
     """Add one column per op, computed over ``keys`` in ``order``.
 
+    The input is read twice (rows and block summaries), so a deep one is settled first.
     ``block`` must not decrease along ``order``; by default it is ``order[0]`` div block rows.
     """
     if block is None:
         block = F.floor(F.col(order[0]) / block_rows(df.sparkSession))
+    df = settle(df)
     tagged = df.withColumn("_blk", block)
     part = Window.partitionBy(*keys, "_blk")
     asc = part.orderBy(*order)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions.settle import settle
 from wordloom.functions.scan import (
     block_ms,
     lag,
@@ -166,9 +167,10 @@ def split_at_spans(edl: DataFrame, spans: DataFrame, reason: str, cuts_too: bool
     By default only keep entries are touched; ``cuts_too`` re-labels cut entries as well.
     Spans are coalesced first, so at most one covers any piece.
     """
+    edl = settle(edl)
     flat = coalesce_spans(spans, 0)
     target = edl if cuts_too else edl.where("keep")
-    hit = overlapping(target, flat)
+    hit = settle(overlapping(target, flat), 1)
     key = ["clip_id", "start_ms", "end_ms"]
     inner = hit.select(
         *key,
@@ -219,7 +221,8 @@ def split_at_spans(edl: DataFrame, spans: DataFrame, reason: str, cuts_too: bool
 def apply_retakes(edl: DataFrame, ranges: DataFrame, words: DataFrame) -> DataFrame:
     """Cut the retake ranges out of the keeps. On clips that have ranges, keep fragments in which
     no word starts are cut too; ``wordless`` marks them."""
-    split = split_at_spans(edl, ranges, "retake")
+    ranges = settle(ranges)
+    split = settle(split_at_spans(edl, ranges, "retake"))
     affected = ranges.select("clip_id").distinct()
     keeps = split.where("keep").join(affected, "clip_id", "left_semi")
     starts = words.select("clip_id", F.col("start_ms").alias("at"))
@@ -336,6 +339,7 @@ def to_output_time(points: DataFrame, edl: DataFrame, at: str, out: str) -> Data
     Both become a lookup of the latest cut starting at or before ``t``, with the removed total
     carried on the cut rows, so the cost is one ordered pass over points and cuts together.
     """
+    edl = settle(edl)
     base = timeline_base(edl)
     cuts = edl.where("not keep").join(base, "clip_id")
     cuts = cuts.withColumn(
