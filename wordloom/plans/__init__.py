@@ -1,6 +1,8 @@
 from wordloom.plans import (  # noqa: F401
     word_plans,
     interval_plans,
+    article_plans,
+    retake_plans,
 )
 from wordloom.plans.registry import ORACLES, QUERIES
 

@@ -136,9 +136,10 @@ FROM ({HOOK_PIECES}) p JOIN hooks h USING (clip_id)
 """)
 
 
-@query("v09_hook_cut_lists", "SELECT * FROM hook_cuts")
+@query("v09_hook_cut_lists", "SELECT * REPLACE (coalesce(section, -2) AS section) FROM hook_cuts")
 def hook_cuts(ws):
-    return tl.hook_edl(ws.edl(), ws.hooks())
+    h = tl.hook_edl(ws.edl(), ws.hooks())
+    return h.withColumn("section", F.coalesce("section", F.lit(-2).cast("long")))
 
 
 @query("v09_hook_durations", """
@@ -316,7 +317,7 @@ def in_ranges(ws):
 
 
 @query("j09_active_word", """
-SELECT t.clip_id, t.t_ms, CASE WHEN t.t_ms <= w.end_ms + 300 THEN w.pos END AS pos FROM (
+SELECT t.clip_id, t.t_ms, coalesce(CASE WHEN t.t_ms <= w.end_ms + 300 THEN w.pos END, -1) AS pos FROM (
   SELECT clip_id, CAST(unnest(range(0, total_ms, 1000)) AS BIGINT) AS t_ms FROM clips) t
 ASOF LEFT JOIN words w ON w.clip_id = t.clip_id AND w.start_ms <= t.t_ms
 """)
@@ -324,7 +325,8 @@ def active(ws):
     t = ws.clips().select(
         "clip_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_ms") - 1, F.lit(1000).cast("long"))).alias("t_ms")
     )
-    return tl.active_word(t, ws.words(), 300)
+    a = tl.active_word(t, ws.words(), 300)
+    return a.withColumn("pos", F.coalesce("pos", F.lit(-1).cast("long")))
 
 
 @query("j16_overlays_on_cuts", """

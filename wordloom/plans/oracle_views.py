@@ -61,6 +61,13 @@ WINDOW w AS (PARTITION BY clip_id ORDER BY turn, i)
 
 
 view("words", _words("SELECT CAST(conv_id AS VARCHAR) AS clip_id, turn, text FROM conversations"))
+view(
+    "words_stutter",
+    _words(
+        "SELECT CAST(doc_id AS VARCHAR) AS clip_id, 0 AS turn, regexp_replace(text, "
+        "'(^|[.?!] )([A-Z][a-z]{2,8}) ([a-z]{2,9}) ', '\\1\\2 \\3... \\2 \\3 ', 'g') AS text FROM documents"
+    ),
+)
 view("words_docs", _words("SELECT CAST(doc_id AS VARCHAR) AS clip_id, 0 AS turn, text FROM documents"))
 
 view(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
 from wordloom.functions.scan import running_sum, scan
+from wordloom.operators import retakes as rt
 from wordloom.operators import words as wd
 from wordloom.operators.gaps import cut_list, gap_table
 from wordloom.params import SHIPPED
@@ -76,6 +77,33 @@ class Workspace:
             ),
         )
 
+    def stuttered_words(self) -> DataFrame:
+        """Documents in which some sentence openings break off and are said again."""
+        opening = r"(^|[.?!] )([A-Z][a-z]{2,8}) ([a-z]{2,9}) "
+        again = F.regexp_replace("text", opening, "$1$2 $3... $2 $3 ")
+        return self.stored(
+            "words_stutter",
+            lambda: timed_words(
+                self.table("documents").select(
+                    F.col("doc_id").cast("string").alias("clip_id"),
+                    F.lit(0).cast("long").alias("turn"),
+                    again.alias("text"),
+                )
+            ),
+        )
+
+    def takes(self) -> DataFrame:
+        """Per-word facts about takes, for the repeated-take passes."""
+        return self.stored("takes", lambda: rt.take_facts(self.stuttered_words(), SHIPPED))
+
+    def retake_pairs(self) -> DataFrame:
+        return self.stored("retake_pairs", lambda: rt.judged_pairs(self.takes(), SHIPPED))
+
+    def retakes(self) -> DataFrame:
+        return self.stored(
+            "retakes", lambda: rt.combined_ranges(self.takes(), self.retake_pairs(), SHIPPED)
+        )
+
     def gaps(self) -> DataFrame:
         return self.stored("gaps", lambda: gap_table(self.words(), SHIPPED))
 
