@@ -369,10 +369,11 @@ def aborted_restarts(facts: DataFrame, params: CutParams) -> DataFrame:
     )
     head_len = F.col("pos") - F.col("take0") + 1
     f = f.where((F.col("trail") == 1) & (head_len <= n) & (F.col("r_gap") <= params.max_retake_gap_ms))
+    size = F.least(head_len, F.lit(n)).cast("int")  # the filter may run after the slices
     said = F.slice(
-        F.array(*[f"p{k}" for k in range(n - 1, 0, -1)], "tok"), (n - head_len + 1).cast("int"), head_len.cast("int")
+        F.array(*[f"p{k}" for k in range(n - 1, 0, -1)], "tok"), n - size + 1, size
     )
-    again = F.slice(F.array(*[f"q{k}" for k in range(1, n + 1)]), F.lit(1), head_len.cast("int"))
+    again = F.slice(F.array(*[f"q{k}" for k in range(1, n + 1)]), F.lit(1), size)
     same = F.array_join(
         F.zip_with(said, again, lambda a, b: F.when(F.coalesce((a == b) & (a != ""), F.lit(False)), "1").otherwise("0")),
         "",

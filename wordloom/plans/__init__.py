@@ -3,6 +3,7 @@ from wordloom.plans import (  # noqa: F401
     interval_plans,
     article_plans,
     retake_plans,
+    idea_plans,
 )
 from wordloom.plans.registry import ORACLES, QUERIES
 
