@@ -10,4 +10,4 @@ def top_by_metric(metrics: DataFrame, metric: str, limit: int, tie: str) -> Data
     """Best ``limit`` rows by a metric with their rank. The limit comes first (a per-partition
     top-k), so the ranking window sees only those rows."""
     top = metrics.orderBy(F.col(metric).desc(), tie).limit(limit)
-    return top.withColumn("rank", F.rank().over(Window.orderBy(F.col(metric).desc())))
+    return top.withColumn("rank", F.rank().over(Window.orderBy(F.col(metric).desc())).cast("long"))

@@ -4,6 +4,7 @@ from wordloom.plans import (  # noqa: F401
     article_plans,
     retake_plans,
     idea_plans,
+    page_plans,
 )
 from wordloom.plans.registry import ORACLES, QUERIES
 

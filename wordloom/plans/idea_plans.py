@@ -154,7 +154,7 @@ def distinct_sources(ws):
 # -- videos -------------------------------------------------------------------------------
 
 view("videos", """
-SELECT source AS slug, doc_id AS no, CASE WHEN doc_id % 97 = 5 THEN '' ELSE 'v' || (doc_id // 2 * 2 + CASE WHEN doc_id % 31 = 3 THEN 0 ELSE doc_id % 2 END) END AS id,
+SELECT lang AS slug, doc_id AS no, CASE WHEN doc_id % 97 = 5 THEN '' ELSE 'v' || (doc_id // 2 * 2 + CASE WHEN doc_id % 31 = 3 THEN 0 ELSE doc_id % 2 END) END AS id,
   CASE WHEN doc_id % 3 = 1 THEN 'v' || (doc_id - 3) ELSE '' END AS of,
   CASE WHEN doc_id % 5 = 0 THEN '' ELSE '*' || substr(split_part(text, chr(10), 1), 1, 20) || '*  x' END AS title,
   CAST(doc_id % 7 * 1000 AS BIGINT) AS start_ms, CAST(doc_id % 11 * 700 AS BIGINT) AS end_ms, doc_id FROM documents
@@ -165,7 +165,7 @@ def videos(ws):
     i = F.col("doc_id")
     own = F.floor(i / 2) * 2 + F.when(i % 31 == 3, 0).otherwise(i % 2)
     return ws.table("documents").select(
-        F.col("source").alias("slug"),
+        F.col("lang").alias("slug"),
         i.alias("no"),
         F.when(i % 97 == 5, "").otherwise(F.concat(F.lit("v"), own.cast("string"))).alias("id"),
         F.when(i % 3 == 1, F.concat(F.lit("v"), (i - 3).cast("string"))).otherwise("").alias("of"),
