@@ -104,15 +104,23 @@ def parse_date(raw: Column) -> Column:
     )
 
 
+def url_date_text(url: Column) -> Column:
+    pattern = r"/([0-9]{4})[/\-]([0-9]{2})[/\-]([0-9]{2})[/\-]?"
+    return F.concat_ws("-", *[F.regexp_extract(url, pattern, i) for i in (1, 2, 3)])
+
+
+def text_date_text(text: Column) -> Column:
+    return F.regexp_extract(text, f"(?<![0-9])({DATE_SHAPES})(?![0-9])", 1)
+
+
 def url_date(url: Column) -> Column:
     """Date in a ``/yyyy/mm/dd`` path."""
-    pattern = r"/([0-9]{4})[/\-]([0-9]{2})[/\-]([0-9]{2})[/\-]?"
-    text = F.concat_ws("-", *[F.regexp_extract(url, pattern, i) for i in (1, 2, 3)])
-    return parse_date(text)
+    return parse_date(url_date_text(url))
 
 
 def text_date(text: Column) -> Column:
-    return parse_date(F.regexp_extract(text, f"(?<![0-9])({DATE_SHAPES})(?![0-9])", 1))
+    """First date-like stretch of a text."""
+    return parse_date(text_date_text(text))
 
 
 def literal_array(values: list[str]) -> Column:

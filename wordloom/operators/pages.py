@@ -116,13 +116,10 @@ def published_date(pages: DataFrame) -> DataFrame:
     )
     classes = "|".join(DATE_CLASSES)
     found.append(plain_text(F.regexp_extract(h, rf'(?is)<[a-z0-9]+\b[^>]*class="[^"]*(?:{classes})[^"]*"[^>]*>[^<]*<', 0)))
+    found += [ur.url_date_text(F.col("url")), ur.text_date_text(plain_text(drop_noise(h)))]
     # one reader over an array keeps the generated code small
     read = F.filter(F.transform(F.array(*found), ur.parse_date), lambda d: d.isNotNull())
-    p = pages.select("page_id", "url", F.get(read, F.lit(0)).alias("stated"), plain_text(drop_noise(h)).alias("text"))
-    return p.select(
-        "page_id",
-        F.coalesce("stated", ur.url_date(F.col("url")), ur.text_date(F.col("text"))).alias("published"),
-    )
+    return pages.select("page_id", F.get(read, F.lit(0)).alias("published"))
 
 
 def resolve_url(base: Column, href: Column) -> Column:

@@ -5,6 +5,8 @@ from wordloom.plans import (  # noqa: F401
     retake_plans,
     idea_plans,
     page_plans,
+    repair_plans,
+    quality_plans,
 )
 from wordloom.plans.registry import ORACLES, QUERIES
 
