@@ -153,12 +153,15 @@ def reconcile_second_pass(
     pair_cols = [*key, "start_ms", "end_ms", "word", "confidence"]
 
     def packed(df, name):
-        item = F.struct("start_ms", "end_ms", tx.strip_edges(F.col("word")).alias("core"), "word", "confidence", *(["how"] if "how" in df.columns else []))
+        extra = ["how"] if "how" in df.columns else []
+        item = F.struct("start_ms", "end_ms", tx.strip_edges(F.col("word")).alias("core"), "word", "confidence", *extra)
         return df.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias(name))
 
+    def cores(name):
+        return F.coalesce(F.transform(name, lambda w: w["core"]), F.array().cast("array<string>"))
+
     both = packed(kept, "k").join(packed(original, "o"), key, "left")
-    cores = lambda c: F.transform(F.coalesce(c, F.array().cast(both.schema["o"].dataType)), lambda w: w["core"])
-    both = both.withColumn("mates", word_mates(cores(F.col("k")), cores(F.col("o"))))
+    both = both.withColumn("mates", word_mates(cores("k"), cores("o")))
     one = both.select(*key, "o", "mates", F.posexplode("k").alias("n", "w"))
     mate = F.get("o", F.get("mates", F.col("n")))
     drop = F.coalesce(mate["confidence"] - F.col("w.confidence") >= margin, F.lit(False))

@@ -7,6 +7,7 @@ from wordloom.plans import (  # noqa: F401
     page_plans,
     repair_plans,
     quality_plans,
+    frame_plans,
 )
 from wordloom.plans.registry import ORACLES, QUERIES
 

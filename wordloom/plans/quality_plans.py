@@ -47,8 +47,10 @@ def line_windows(ws):
 
 @query("d16_script_coverage")
 def coverage(ws):
-    kept = tl.kept_words(ws.words(), retake_edl(ws))
-    return ql.script_coverage(script_lines(ws), ws.words(), kept)
+    return ws.stored(
+        "coverage",
+        lambda: ql.script_coverage(script_lines(ws), ws.words(), tl.kept_words(ws.words(), retake_edl(ws))),
+    )
 
 
 def shots(ws):
@@ -60,12 +62,12 @@ def shots(ws):
 
 @query("d26_evidence_reconcile")
 def evidence(ws):
-    return ql.reconcile_evidence(shots(ws), ws.words())
+    return ws.stored("evidence", lambda: ql.reconcile_evidence(shots(ws), ws.words()))
 
 
 @query("d26_unsupported_claims")
 def unsupported(ws):
-    r = ql.reconcile_evidence(shots(ws), ws.words())
+    r = evidence(ws)
     w = ws.words().withColumn("word", F.when(F.col("pos") % 37 == 1, F.concat("word", F.lit("5%"))).otherwise(F.col("word")))
     return ql.unsupported_claims(r, w)
 
@@ -73,7 +75,7 @@ def unsupported(ws):
 @query("d17_review_flags")
 def flags(ws):
     none = ws.spark.createDataFrame([], "clip_id string, cut_start_ms bigint, ngram string, skip_reason string, kept boolean")
-    cov = ql.script_coverage(script_lines(ws), ws.words(), tl.kept_words(ws.words(), retake_edl(ws)))
+    cov = coverage(ws)
     capped = rp.expand_to_sentences(rp.raw_windows(ws.words(), 700, 0.35, 300, 600, 100), ws.words(), 600)
     return ql.review_flags(ws.words(), retake_edl(ws), ws.gaps(), none, ws.drops(), 600, 750, 200, cov, capped)
 
