@@ -8,6 +8,7 @@ from wordloom.plans import (  # noqa: F401
     repair_plans,
     quality_plans,
     frame_plans,
+    source_plans,
 )
 from wordloom.plans.registry import ORACLES, QUERIES
 
