@@ -88,7 +88,7 @@ FROM tagged_toks
 """)
 
 
-@query("d11_literal_repeats", """
+view("judged", """
 SELECT clip_id, i, j, j - i AS cut_len, match_len, ci, cj, reason = '' AS kept, reason AS skip_reason FROM (
   SELECT g.*, CASE
     WHEN g.match_len <= 0.5 * (g.j - g.i) THEN 'ratio'
@@ -101,6 +101,9 @@ SELECT clip_id, i, j, j - i AS cut_len, match_len, ci, cj, reason = '' AS kept,
         WHERE b.start_ms - b.pe <= 12000) g
   JOIN facts a ON a.clip_id = g.clip_id AND a.pos = g.ci JOIN facts b ON b.clip_id = g.clip_id AND b.pos = g.cj)
 """)
+
+
+@query("d11_literal_repeats", "SELECT * FROM judged")
 def literal(ws):
     return ws.retake_pairs().select(
         "clip_id", "i", "j", "cut_len", "match_len", "ci", "cj", "kept", "skip_reason"
@@ -141,17 +144,13 @@ def sentence_overlap(ws):
 
 
 @query("d13_aborted_restarts", """
-SELECT clip_id, s_ms AS start_ms, r_ms AS end_ms FROM (
-  SELECT e.clip_id, a.start_ms AS s_ms, r.start_ms AS r_ms, e.pos - a.pos + 1 AS hl,
-    CASE WHEN NOT (a.tok <> '' AND a.tok = r.tok) THEN 0
-         WHEN e.pos - a.pos + 1 < 2 OR NOT coalesce(a1.tok <> '' AND a1.tok = r1.tok, false) THEN 1
-         WHEN e.pos - a.pos + 1 < 3 OR NOT coalesce(a2.tok <> '' AND a2.tok = r2.tok, false) THEN 2 ELSE 3 END AS p
-  FROM facts e JOIN facts a ON a.clip_id = e.clip_id AND a.pos = e.take0
-  JOIN facts r ON r.clip_id = e.clip_id AND r.pos = e.pos + 1
-  LEFT JOIN facts a1 ON a1.clip_id = e.clip_id AND a1.pos = e.take0 + 1 LEFT JOIN facts r1 ON r1.clip_id = e.clip_id AND r1.pos = e.pos + 2
-  LEFT JOIN facts a2 ON a2.clip_id = e.clip_id AND a2.pos = e.take0 + 2 LEFT JOIN facts r2 ON r2.clip_id = e.clip_id AND r2.pos = e.pos + 3
-  WHERE e.trails AND r.start_ms - r.pe <= 12000)
-WHERE p >= 2 AND p >= hl - 1 AND p < 3
+SELECT clip_id, CASE hl WHEN 2 THEN s1 ELSE s2 END AS start_ms, r_ms AS end_ms FROM (
+  SELECT *, pos - take0 + 1 AS hl, lag(tok) OVER w AS p1, lag(tok, 2) OVER w AS p2, lag(start_ms) OVER w AS s1, lag(start_ms, 2) OVER w AS s2,
+    lead(tok) OVER w AS r1, lead(tok, 2) OVER w AS r2, lead(tok, 3) OVER w AS r3, lead(start_ms) OVER w AS r_ms, end_ms AS e_ms
+  FROM facts WINDOW w AS (PARTITION BY clip_id ORDER BY pos))
+WHERE trails AND r_ms - e_ms <= 12000 AND (
+  (hl = 2 AND p1 <> '' AND p1 = r1 AND tok <> '' AND tok = r2)
+  OR (hl = 3 AND p2 <> '' AND p2 = r1 AND p1 <> '' AND p1 = r2 AND NOT coalesce(tok <> '' AND tok = r3, false)))
 """)
 def aborted(ws):
     return rt.aborted_restarts(ws.takes(), SHIPPED)
@@ -172,7 +171,11 @@ def passes(ws):
     return lit.unionByName(rew).unionByName(abo)
 
 
-@query("a11_retake_totals", None)
+@query("a11_retake_totals", """
+SELECT j.clip_id, count(*) AS candidates, count(*) FILTER (kept) AS cut, count(*) FILTER (NOT kept) AS skipped,
+  CAST(coalesce(sum(b.start_ms - a.start_ms) FILTER (kept), 0) AS BIGINT) AS cut_ms
+FROM judged j JOIN words_stutter a ON a.clip_id = j.clip_id AND a.pos = j.ci JOIN words_stutter b ON b.clip_id = j.clip_id AND b.pos = j.cj GROUP BY 1
+""")
 def totals(ws):
     p = ws.retake_pairs()
     return p.groupBy("clip_id").agg(
