@@ -82,7 +82,7 @@ def flags(ws):
 
 @query("o06_flag_order", """
 SELECT clip_id, priority, at_ms, kind, detail FROM (
-  SELECT clip_id, 4 AS priority, start_ms AS at_ms, 'micro keep' AS kind, CAST(end_ms - start_ms AS VARCHAR) AS detail FROM edl WHERE keep AND end_ms - start_ms < 900
+  SELECT clip_id, CAST(4 AS BIGINT) AS priority, start_ms AS at_ms, 'micro keep' AS kind, CAST(end_ms - start_ms AS VARCHAR) AS detail FROM edl WHERE keep AND end_ms - start_ms < 900
   UNION ALL SELECT clip_id, 5, start_ms, 'large kept gap', gap_type || ': ' || skip_reason FROM gaps WHERE NOT cut AND duration_ms > 60
   UNION ALL SELECT clip_id, 1, start_ms, 'long retake', CAST(end_ms - start_ms AS VARCHAR) FROM drops WHERE end_ms - start_ms >= 8000)
 ORDER BY priority, at_ms
