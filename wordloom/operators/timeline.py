@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions import text as tx
-from wordloom.functions.scan import (
-    block_ms,
-    lag,
-    last,
-    lead,
-    running_max,
-    running_sum,
-    scan,
-    total,
-)
+from wordloom.functions.scan import lag, last, lead, running_max, running_sum, scan, total
 from wordloom.operators.intervals import (
     BUCKET_MS,
     CLIP,

@@ -9,15 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
-from wordloom.functions.scan import (
-    lag,
-    last,
-    lead,
-    neighbours,
-    running_sum,
-    scan,
-    total,
-)
+from wordloom.functions.scan import lag, last, neighbours, running_sum, scan, total
 
 CLIP = ["clip_id"]
 

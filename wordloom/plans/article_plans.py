@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
 from wordloom.functions import urls as ur
-from wordloom.functions.topk import top_per_key
 from wordloom.operators import articles as ar
 from wordloom.plans.oracle_views import view
 from wordloom.plans.registry import query

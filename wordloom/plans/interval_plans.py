@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from wordloom.operators import gaps as gp
 from wordloom.operators import intervals as iv
 from wordloom.operators import timeline as tl
-from wordloom.operators import words as wd
 from wordloom.params import SHIPPED
 from wordloom.plans.oracle_views import islands, merged_cuts, remap, split_edl, view
 from wordloom.plans.registry import query

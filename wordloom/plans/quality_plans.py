@@ -13,7 +13,6 @@ from wordloom.operators import repair as rp
 from wordloom.operators import timeline as tl
 from wordloom.operators import variants as va
 from wordloom.operators import words as wd
-from wordloom.params import SHIPPED
 from wordloom.plans.oracle_views import view
 from wordloom.plans.registry import query
 

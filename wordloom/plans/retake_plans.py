@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordloom.operators import intervals as iv
 from wordloom.operators import retakes as rt
 from wordloom.params import SHIPPED
 from wordloom.plans.oracle_views import view
@@ -143,7 +142,7 @@ def sentence_overlap(ws):
     return rt.overlapping_sentences(ws.stuttered_words(), SHIPPED).select("clip_id", F.col("sent").alias("s1"), F.col("sent2").alias("s2"), "inter")
 
 
-@query("d13_aborted_restarts", """
+view("aborted_openers", """
 SELECT clip_id, CASE hl WHEN 2 THEN s1 ELSE s2 END AS start_ms, r_ms AS end_ms FROM (
   SELECT *, pos - take0 + 1 AS hl, lag(tok) OVER w AS p1, lag(tok, 2) OVER w AS p2, lag(start_ms) OVER w AS s1, lag(start_ms, 2) OVER w AS s2,
     lead(tok) OVER w AS r1, lead(tok, 2) OVER w AS r2, lead(tok, 3) OVER w AS r3, lead(start_ms) OVER w AS r_ms, end_ms AS e_ms
@@ -152,6 +151,9 @@ WHERE trails AND r_ms - e_ms <= 12000 AND (
   (hl = 2 AND p1 <> '' AND p1 = r1 AND tok <> '' AND tok = r2)
   OR (hl = 3 AND p2 <> '' AND p2 = r1 AND p1 <> '' AND p1 = r2 AND NOT coalesce(tok <> '' AND tok = r3, false)))
 """)
+
+
+@query("d13_aborted_restarts", "SELECT * FROM aborted_openers")
 def aborted(ws):
     return rt.aborted_restarts(ws.takes(), SHIPPED)
 
@@ -161,7 +163,12 @@ def ranges(ws):
     return ws.retakes()
 
 
-@query("u03_retake_passes")
+@query("u03_retake_passes", f"""
+SELECT j.clip_id, a.start_ms, b.start_ms AS end_ms, 'literal' AS pass FROM judged j
+  JOIN words_stutter a ON a.clip_id = j.clip_id AND a.pos = j.ci JOIN words_stutter b ON b.clip_id = j.clip_id AND b.pos = j.cj WHERE j.kept
+UNION ALL SELECT clip_id, start_ms, end_ms, 'reworded' FROM ({REWORDED})
+UNION ALL SELECT clip_id, start_ms, end_ms, 'aborted' FROM aborted_openers
+""")
 def passes(ws):
     lit = ws.retake_pairs().where("kept").select(
         "clip_id", F.col("cut_start_ms").alias("start_ms"), F.col("cut_end_ms").alias("end_ms"), F.lit("literal").alias("pass")

@@ -7,9 +7,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
-from wordloom.functions import text as tx
-from wordloom.operators import ideas as idl
-from wordloom.plans.article_plans import CFG, TODAY, articles, feed, previous, rejected, stages, store
+from wordloom.plans.article_plans import articles, feed, previous, stages, store
 from wordloom.plans.oracle_views import view
 from wordloom.plans.registry import query
 from wordloom.session import work_dir
