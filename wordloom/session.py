@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIR: dict[str, str] = {}
-
 
 def build_session(app: str = "wordloom", cpus: int | None = None) -> SparkSession:
     """A local session for tests and benchmarks; a cluster supplies its own."""
@@ -29,19 +26,14 @@ def build_session(app: str = "wordloom", cpus: int | None = None) -> SparkSessio
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    A local session without one uses a folder below its warehouse; a cluster must name one, since a
+    folder of one machine is not seen by the others.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIR:
-        _LOCAL_DIR[app] = tempfile.mkdtemp(prefix="spark-wordloom-")
-    return _LOCAL_DIR[app]
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(work_dir(df.sparkSession) + "/checkpoints")
-    return df.checkpoint(eager=True)
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/steps"
