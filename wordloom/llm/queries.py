@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import documents
+from wordloom.llm.bpe import decode_ids, encode_texts
+from wordloom.llm.classifier import classify, document_vectors, fit, score
+from wordloom.llm.common import documents, keep
 from wordloom.llm.contamination import contained_items
 from wordloom.llm.divergence import judge_quality
+from wordloom.llm.near_dups import near_duplicates
 from wordloom.llm.shards import place, slots
 from wordloom.llm.site_lines import MIN_PAGES, RATIO, drop_site_lines
 from wordloom.llm.urls import judge_urls
@@ -15,6 +18,17 @@ from wordloom.llm.urls import judge_urls
 SHARDS = 24
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file of the box; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = place(documents(spark, sf_dir), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
     return slots(placed).select(
@@ -22,6 +36,17 @@ def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    coded = decode_ids(encode_texts(documents(spark, sf_dir), path), path)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op4_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_site_lines(documents(spark, sf_dir)).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
@@ -34,15 +59,29 @@ def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(documents(spark, sf_dir))
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+
+
+def op9_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = keep(document_vectors(documents(spark, sf_dir)), "vectors")
+    labels = documents(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    scored = score(vectors, fit(vectors, labels))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(documents(spark, sf_dir, "pages"))
 
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_shard_tree": op2_shard_tree,
+    "op3_word_bpe": op3_word_bpe,
     "op4_site_lines": op4_site_lines,
     "op5_contained_items": op5_contained_items,
     "op7_divergence": op7_divergence,
+    "op9_discriminant": op9_discriminant,
     "op10_url_rules": op10_url_rules,
 }
 
