@@ -17,12 +17,11 @@ among the labels (0.5 without any). Other columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,19 +89,19 @@ def statistics(data: bytes) -> list[float]:
     ]
 
 
-def document_vectors(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, features: array<double> in the order of ``FEATURES``."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("binary").alias("_text"))
-    schema = rows.select("_id").schema.add("features", T.ArrayType(T.DoubleType()))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _features(texts: pd.Series) -> pd.Series:
+    return pd.Series([statistics(t or b"") for t in texts])
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = [statistics(t.as_py() or b"") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=["_id", "features"]
-            )
+def features_of(text: str) -> Column:
+    """The vector of a text column: array<double> in the order of ``FEATURES``."""
+    return _features(F.col(text).cast("binary"))
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+
+def document_vectors(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, features."""
+    return docs.select(F.col(id_col), features_of(text).alias("features"))
 
 
 @dataclass(frozen=True)
@@ -168,9 +167,7 @@ def score(vectors: DataFrame, model: Discriminant, threshold: float = THRESHOLD)
     """``vectors`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on)."""
 
     @F.pandas_udf("double")
-    def scores(features):
-        import pandas as pd
-
+    def scores(features: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array(features.tolist(), np.float64).reshape(len(features), -1)))
 
     return vectors.withColumn("score", scores("features")).withColumn(

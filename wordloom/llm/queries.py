@@ -14,6 +14,7 @@ from wordloom.llm.near_dups import near_duplicates
 from wordloom.llm.shards import place, slots
 from wordloom.llm.site_lines import MIN_PAGES, RATIO, drop_site_lines
 from wordloom.llm.urls import judge_urls
+from wordloom.llm.warc import round_trip
 
 SHARDS = 24
 
@@ -59,6 +60,12 @@ def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(documents(spark, sf_dir))
 
 
+def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
+    )
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
@@ -81,6 +88,7 @@ QUERIES = {
     "op4_site_lines": op4_site_lines,
     "op5_contained_items": op5_contained_items,
     "op7_divergence": op7_divergence,
+    "op8_warc_chunks": op8_warc_chunks,
     "op9_discriminant": op9_discriminant,
     "op10_url_rules": op10_url_rules,
 }

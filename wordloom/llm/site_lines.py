@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import broadcast_if_small, keep
 
 #: A line on more than this share of a host's pages is boilerplate.
-RATIO = 0.1
+RATIO = 0.05
 #: A line on fewer pages is never boilerplate, however small its host.
 MIN_PAGES = 5
 
