@@ -13,6 +13,7 @@ from wordloom.llm.divergence import judge_quality
 from wordloom.llm.near_dups import near_duplicates
 from wordloom.llm.shards import place, slots
 from wordloom.llm.site_lines import MIN_PAGES, RATIO, drop_site_lines
+from wordloom.llm.suffix_dedup import repeated_passages
 from wordloom.llm.urls import judge_urls
 from wordloom.llm.warc import round_trip
 
@@ -56,6 +57,12 @@ def op5_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(documents(spark, sf_dir))
 
@@ -87,6 +94,7 @@ QUERIES = {
     "op3_word_bpe": op3_word_bpe,
     "op4_site_lines": op4_site_lines,
     "op5_contained_items": op5_contained_items,
+    "op6_suffix_columns": op6_suffix_columns,
     "op7_divergence": op7_divergence,
     "op8_warc_chunks": op8_warc_chunks,
     "op9_discriminant": op9_discriminant,
