@@ -32,14 +32,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     labels = documents(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
     labelled = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
     vectors = keep(labelled.select("doc_id", features_of("text").alias("features")), "labelled-vectors")
-    scored = score(docs.withColumn("features", features_of("text")), fit(vectors, labels), THRESHOLD)
+    scored = score(docs.select(*COLUMNS, features_of("text").alias("features")), fit(vectors, labels), THRESHOLD)
     return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that stand on too many pages of their source. A page of which nothing would be left
     is a copy, not a template: it stays as it is, for the next stage."""
-    cleaned = drop_site_lines(docs.withColumn("_before", F.col("text")), "source", "text")
+    cleaned = drop_site_lines(docs.select(*COLUMNS, F.col("text").alias("_before")), "source", "text")
     left = F.col("text").rlike("[^\\t-\\r ]") | (F.col("n_dropped") == 0)
     text = F.when(left | F.col("text").isNull(), F.col("text")).otherwise(F.col("_before"))
     length = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))

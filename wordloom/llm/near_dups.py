@@ -5,10 +5,13 @@
 2. Banding: ``ROWS`` minima make a band key. Two sets with a Jaccard similarity of 0.85 share none of
    the 32 keys with a chance of (1 - 0.85^4)^32 < 1e-10.
 3. Candidates of a band are compared with its least class first: a star, not all pairs. Components follow.
-   A band whose open classes lie in different components goes on: the next pivots (8, then 64, ...;
-   from the band's smallest components) are compared with its classes in other components, until no
-   band holds two open classes of different components. So every two classes of a band end up compared
-   or connected, and a band of thousands of copies costs a few comparisons for each.
+   A band whose open classes lie in different components goes on. Of each of its classes, the shingles
+   that no other open class has are counted: what is left of it must reach its share of a union with the
+   smallest partner, or it can have no link in the band and leaves it. Then the classes with the
+   fewest such shingles, those most like all the others, become pivots (2, then 8, ...) and are compared
+   with the band's classes in other components, until no band holds two open classes of different
+   components. So every two classes of a band end up compared, connected or proven apart, and a band
+   of thousands of copies costs a few comparisons for each.
 4. A comparison first estimates the similarity from both signatures, with a margin that a true link
    misses with a chance below 1e-9, then counts the intersection and union of the full sets.
 5. Links make components by alternating large-star and small-star.
@@ -30,9 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from wordloom.llm.common import broadcast_if_small, keep
 from wordloom.llm.components import components
@@ -45,7 +47,8 @@ BANDS = HASHES // ROWS
 LEAST_EQUAL = 80
 #: Linked from this percentage of the union in the intersection.
 PERCENT = 85
-PIVOTS = 8
+#: Pivots of a band in the first round after the star; four times as many in each further one.
+PIVOTS = 2
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,13 +85,12 @@ def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def band_keys(classes: DataFrame) -> DataFrame:
-    """key, rep: one row per class and band."""
-    keys = F.transform(
+def band_keys(sig: str) -> Column:
+    """The key of each band of a signature."""
+    return F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda i: F.xxhash64(i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))),
+        lambda i: F.xxhash64(i, F.substring(sig, i * (4 * ROWS) + 1, F.lit(4 * ROWS))),
     )
-    return classes.select("rep", F.explode(keys).alias("key"))
 
 
 def _similar_signatures(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -137,6 +139,22 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _unshared(texts: DataFrame) -> DataFrame:
+    """rep, alone: how many shingles of a class stand in no other class of ``texts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, text in zip(batch.column(0), batch.column(1), strict=True):
+                s = shingle_set(text.as_py() or b"").view(np.int64)
+                for lo in range(0, len(s), 1 << 16):
+                    part = pa.array(s[lo : lo + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array([rep.as_py()] * len(part), pa.int64()), part], names=["rep", "h"])
+
+    hashes = texts.mapInArrow(run, "rep bigint, h bigint")
+    once = hashes.groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
+    return once.groupBy("rep").agg(F.count("*").alias("alone"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT, least_equal: int = LEAST_EQUAL
 ) -> DataFrame:
@@ -145,7 +163,7 @@ def near_duplicates(
     classes = keep(
         rows.where("n_shingles > 0 and _id is not null")
         .groupBy("digest")
-        .agg(F.min("_id").alias("rep"), F.first("sig").alias("sig")),
+        .agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig")),
         "classes",
     )
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text).cast("binary").alias("_text"))
@@ -161,7 +179,7 @@ def near_duplicates(
         some = keep(texts.join(broadcast_if_small(ids, 16), "_id", "left_semi"), "compared-texts")
         return keep(_confirmed(near, some, percent), "links")
 
-    members = band_keys(classes)
+    members = classes.select("rep", F.explode(band_keys("sig")).alias("key"))
     bands = members.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").drop("n")
     shared = keep(members.join(bands, "key").where("rep <> pivot"), "bands")
     links = links_of(shared.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
@@ -176,18 +194,33 @@ def near_duplicates(
         named = keep(named.join(mixed.select("key"), "key", "left_semi"), "mixed")
         if named.isEmpty():
             break
-        size = named.groupBy("key", "comp").agg(F.count("*").alias("size"))
-        first = Window.partitionBy("key").orderBy("size", "comp", "rep")
+        ids = keep(named.select(F.col("rep").alias("_id")).distinct(), "open")
+        some = texts.join(broadcast_if_small(ids, 16), "_id", "left_semi")
+        # an id with several rows may have several texts: nothing is counted for it
+        often = rows.join(broadcast_if_small(ids, 16), "_id", "left_semi").groupBy("_id").count().where("count > 1")
+        alone = _unshared(some).join(often, F.col("rep") == F.col("_id"), "left_anti")
+        alone = keep(alone, "unshared")
+        sized = (
+            named.join(classes.select("rep", "size", band_keys("sig").alias("keys")), "rep")
+            .join(alone, "rep", "left")
+            .select("key", "rep", "comp", "keys", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+        )
+        least = sized.groupBy("key").agg(F.min("size").alias("least"))
+        # 100 * intersection >= percent * (size + size - intersection), and no more than what is common
+        able = (100 + percent) * F.col("common") >= percent * (F.col("size") + F.col("least"))
+        named = keep(sized.join(least, "key").where(able), "able")
+        first = Window.partitionBy("key").orderBy((F.col("size") - F.col("common")) / F.col("size"), "rep")
         chosen = keep(
-            named.join(size, ["key", "comp"])
-            .withColumn("at", F.row_number().over(first))
+            named.withColumn("at", F.row_number().over(first))
             .where(F.col("at") <= pivots)
-            .select("key", F.col("rep").alias("pivot"), F.col("comp").alias("pivot_comp")),
+            .select("key", F.col("rep").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("keys").alias("pivot_keys")),
             "pivots",
         )
+        # a pair that shares several bands is settled in one of them: if it is not open there, it is
+        # compared, connected or proven apart already
         pairs = (
             named.join(chosen, "key")
-            .where("comp <> pivot_comp")
+            .where("comp <> pivot_comp and key = array_min(array_intersect(keys, pivot_keys))")
             .select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b"))
             .distinct()
         )
@@ -197,7 +230,7 @@ def near_duplicates(
         still = named.select("key", "rep").join(
             chosen.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti"
         )
-        pivots *= 8
+        pivots *= 4
     of_class = keep(
         classes.select("digest", "rep")
         .join(labels, F.col("rep") == F.col("node"), "left")
@@ -227,4 +260,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
         .select(F.col(id_col).alias("_gone"))
     )
     gone = broadcast_if_small(keep(gone, "duplicates"), 16)
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

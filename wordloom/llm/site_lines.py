@@ -70,20 +70,25 @@ def drop_site_lines(
     """``pages`` with ``text`` cleaned, and ``n_lines``, ``n_dropped`` (lines before, lines dropped)."""
     lists = keep(boilerplate_lines(pages, host, text, ratio, min_pages), "boilerplate")
     lists = broadcast_if_small(lists, 16 + F.octet_length(F.coalesce("_host", F.lit(""))) + 8 * F.size("_drop"))
-    columns = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    joined = pages.select(*columns).join(lists, F.col(host).cast("string").eqNullSafe(F.col("_host")), "left")
+    # the page stays apart from what is added to it, whatever its columns are called
+    page = pages.select(
+        F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"),
+        F.col(host).cast("string").alias("_own"),
+        F.col(text).alias("_text"),
+    )
     kept = F.when(
-        F.col("_drop").isNotNull() & F.col(text).isNotNull(),
-        F.filter(_lines(F.col(text)), lambda x: _blank(x) | ~F.array_contains("_drop", _key(x))),
+        F.col("_drop").isNotNull() & F.col("_text").isNotNull(),
+        F.filter(_lines(F.col("_text")), lambda x: _blank(x) | ~F.array_contains("_drop", _key(x))),
     )
-    whole = F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(F.col(text))))
-    return (
-        joined.withColumn("_kept", kept)
-        .withColumn("n_lines", whole.cast("long"))
-        .withColumn(
-            "n_dropped",
-            F.when(F.col("_kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"),
-        )
-        .withColumn(text, F.when(F.col("n_dropped") == 0, F.col(text)).otherwise(F.array_join("_kept", "\n")))
-        .select(*columns, "n_lines", "n_dropped")
+    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(_lines(F.col("_text")))).cast("long")
+    n_dropped = F.when(F.col("_kept").isNull(), 0).otherwise(n_lines - F.size("_kept")).cast("long")
+    results = {
+        "n_lines": n_lines,
+        "n_dropped": n_dropped,
+        text: F.when(n_dropped == 0, F.col("_text")).otherwise(F.array_join("_kept", "\n")),
+    }
+    cleaned = page.join(lists, F.col("_own").eqNullSafe(F.col("_host")), "left").withColumn("_kept", kept)
+    return cleaned.select(
+        *[F.col("page")[c].alias(c) if c not in results else results[c].alias(c) for c in pages.columns],
+        *[results[c].alias(c) for c in ("n_lines", "n_dropped") if c not in pages.columns],
     )
