@@ -13,8 +13,9 @@ from wordloom.functions.markup import article_of
 from wordloom.operators import articles as ar
 from wordloom.operators import cues as cu
 from wordloom.operators import ideas as idl
+from wordloom.operators import repair as rp
 from wordloom.operators.frames import speech_segments
-from wordloom.operators.variants import trim_cycle, variant_plan
+from wordloom.operators.variants import variant_plan
 
 
 def norm(s):
@@ -81,11 +82,43 @@ def test_rejection_is_final(spark):
     assert [r.arrival for r in idl.refused(resp).collect()] == [2]
 
 
-def test_trim_cycle_and_plan(spark):
-    assert trim_cycle([1, 2, 3]) == [[1, 2, 3], [1], [2], [3], [1, 2], [1, 3], [2, 3], []]
-    assert trim_cycle([1]) == [[1], []]
-    df = spark.createDataFrame([("s", [1, 1, 1, 1], [])], "slug string, counts array<bigint>, units array<bigint>")
-    assert [r.flip for r in variant_plan(df, "alternate", True).orderBy("copy", "hook").collect()] == [False, True, False, True]
+def test_trims_are_handed_out_in_order(spark):
+    df = spark.createDataFrame([("s", [9], [3, 1, 2]), ("t", [3], [1]), ("u", [2, 0, 2], [])], "slug string, counts array<bigint>, units array<bigint>")
+    got = {(r.slug, r.hook, r.copy): (r.flip, r.trims) for r in variant_plan(df, "all", True).collect()}
+    assert [got["s", 0, c][1] for c in range(9)] == [[], [1, 2, 3], [1], [2], [3], [1, 2], [1, 3], [2, 3], []]
+    assert [got["t", 0, c][1] for c in range(3)] == [[], [1], [1]]
+    assert got["u", 2, 1] == (True, []) and len(got) == 16 and not got["s", 0, 0][0]
+
+
+def test_a_hook_gets_each_trim_set_once_while_it_can(spark):
+    df = spark.createDataFrame([("s", [3, 1, 4, 2], [5, 7])], "slug string, counts array<bigint>, units array<bigint>")
+    for flip, flips in (("off", {False}), ("alternate", {False, True}), ("copies", {False, True})):
+        rows = variant_plan(df, flip, True).collect()
+        assert len(rows) == 10 and {r.flip for r in rows} == flips
+        for hook in range(4):
+            own = [tuple(r.trims) for r in rows if r.hook == hook]
+            assert len(set(own)) == len(own)
+    rows = variant_plan(df, "alternate", False).orderBy("copy", "hook").collect()
+    assert [r.flip for r in rows] == [k % 2 == 1 for k in range(10)] and all(r.trims == [] for r in rows)
+
+
+def test_every_known_variant_of_a_form_fires(spark):
+    forms = ["books", "book"] + [f"alias-{i}" for i in (1, 2)] + [f"maker-{i}" for i in (1, 2)]
+    words = spark.createDataFrame([("c", i, "Books", 100 * i) for i in range(14)], "clip_id string, pos bigint, word string, start_ms bigint")
+    known = spark.createDataFrame([(f,) for f in forms], "slug string")
+    edges = spark.createDataFrame([("c", 0)], "clip_id string, at_ms bigint")
+    aliases, makers = {"books": "alias-1", "book": "alias-2"}, {"books": "maker-1", "book": "maker-2"}
+    got = cu.entity_cues(words, known, edges, [], [], aliases, makers, 2000).collect()
+    assert sorted(r.slug for r in got) == sorted(forms) and cu.most_variants(aliases, makers) == 12
+
+
+def test_spoken_numbers_of_any_length(spark):
+    df = spark.createDataFrame([("12345678901234567890,",), ("000000000000000000042",), ("0",), ("1000000",), ("999999.",)], "word string")
+    got = [" ".join(r[0]) for r in df.select(rp.spoken_tokens(F.col("word"))).collect()]
+    assert got == [
+        "12345678901234567890", "forty two", "zero", "1000000",
+        "nine hundred ninety nine thousand nine hundred ninety nine",
+    ]
 
 
 def test_sounds_on_screen_changes(spark):

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
 from wordloom.functions.scan import lag, running_sum, scan
 from wordloom.functions.settle import settle
-from wordloom.functions.topk import top_per_key
 from wordloom.operators.intervals import BUCKET_MS, CLIP, _time_block
 
 
@@ -40,6 +39,11 @@ def slug_variants(word: Column, aliases: dict[str, str], makers: dict[str, str])
     return F.array_distinct(F.concat(base, F.array_compact(extra)))
 
 
+def most_variants(aliases: dict[str, str], makers: dict[str, str]) -> int:
+    """The largest size that ``slug_variants`` can have: four spellings, each with alias and maker."""
+    return 4 * (1 + bool(aliases) + bool(makers))
+
+
 def censored(word: Column, stems: list[str]) -> Column:
     """First vowel after a letter starred when the word starts with a listed stem."""
     core = F.regexp_replace(F.lower(word), "[^a-z]", "")
@@ -89,9 +93,10 @@ def entity_cues(
         F.transform(F.array_sort(F.collect_list(F.struct("n", "slug"))), lambda x: x["slug"]).alias("vs")
     )
     cand = section_of(cand, edges).withColumn("form", F.array_join("vs", " "))
-    some = settle(cand, 0)
-    most = 8
-    early = top_per_key(some, ["clip_id", "section", "form"], ["pos"], most).where(F.col("rk") <= F.size("vs"))
+    # rows beyond the largest size of a form cannot fire; Spark cuts them before the shuffle too
+    first = Window.partitionBy("clip_id", "section", "form").orderBy("pos")
+    most = most_variants(aliases, makers)
+    early = cand.withColumn("rk", F.row_number().over(first)).where(F.col("rk") <= most).where(F.col("rk") <= F.size("vs"))
     packed = early.groupBy("clip_id", "section").agg(F.array_sort(F.collect_list(F.struct("pos", "start_ms", "vs"))).alias("ws"))
     kind = "array<struct<pos:bigint,start_ms:bigint,slug:string>>"
 

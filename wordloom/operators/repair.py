@@ -220,19 +220,21 @@ def _below_thousand(n: Column) -> Column:
 def spoken_tokens(word: Column) -> Column:
     """Tokens as spoken: numbers up to 999 999 in words, anything else unchanged."""
     core = F.rtrim(F.ltrim(F.trim(word), F.lit("-")), F.lit(".,!?;:\"'"))
-    n = F.when(core.rlike("^[0-9]{1,18}$"), core.cast("long"))
+    # without leading zeros, the length tells the size: a number may have any number of digits
+    digits = F.when(core.rlike("^[0-9]+$"), F.regexp_replace(core, "^0+(?=.)", ""))
+    n = F.when(F.char_length(digits) <= 6, digits.cast("long"))
     thousands, rest = F.floor(n / 1000), n % 1000
     # both halves through one lambda: the expression is large and is generated once
     halves = F.transform(F.array(thousands, rest), _below_thousand)
     text = F.when(
-        n < 1_000_000,
+        n.isNotNull(),
         F.concat_ws(
             " ",
             F.when(thousands > 0, F.concat(F.get(halves, F.lit(0)), F.lit(" thousand"))),
             F.when((rest > 0) | (n == 0), F.get(halves, F.lit(1))),
         ),
-    ).otherwise(n.cast("string"))
-    return F.when(n.isNotNull(), F.split(text, " ")).otherwise(F.array(word))
+    ).otherwise(digits)
+    return F.when(digits.isNotNull(), F.split(text, " ")).otherwise(F.array(word))
 
 
 def expand_spoken(words: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def _below(n):
 SPOKEN = f"""
 SELECT clip_id, pos, start_ms, end_ms, CASE WHEN v IS NULL THEN word WHEN v < 1000 THEN {_below('v')}
   WHEN v < 1000000 THEN concat_ws(' ', {_below('t')}, 'thousand', CASE WHEN r > 0 THEN {_below('r')} END) ELSE CAST(v AS VARCHAR) END AS spoken, v
-FROM (SELECT *, v // 1000 AS t, v % 1000 AS r FROM (SELECT *, CASE WHEN regexp_matches(c, '^[0-9]{{1,18}}$') THEN CAST(c AS BIGINT) END AS v
+FROM (SELECT *, v // 1000 AS t, v % 1000 AS r FROM (SELECT *, CASE WHEN regexp_full_match(c, '[0-9]+') THEN CAST(c AS BIGNUM) END AS v
   FROM (SELECT *, rtrim(ltrim(trim(word), '-'), '.,!?;:"''') AS c FROM number_words)))
 """
 
