@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -28,7 +29,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     only = sys.argv[1:] or HEADLINE
-    spark = build_session("bench")
+    spark = build_session("bench", shared=tempfile.mkdtemp(prefix="spark-"))
     spark.sparkContext.setLogLevel("OFF")
     spark.range(1000).selectExpr("sum(id)").collect()
     ws = Workspace.open(spark, sf_dir)

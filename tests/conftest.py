@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -14,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     os.environ.setdefault("BENCH_CPUS", "8")
-    s = build_session("tests")
+    s = build_session("tests", shared=tempfile.mkdtemp(prefix="spark-"))
     s.sparkContext.setLogLevel("OFF")
     # small blocks, so that every ordered operator has to hand state from block to block
     s.conf.set("spark.wordloom.block.rows", "7")

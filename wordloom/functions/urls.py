@@ -79,28 +79,63 @@ def clean_title(title: Column) -> Column:
     return F.trim(t)
 
 
-# Shape of a raw date and how to read it.
-_DATE_READERS = [
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "yyyy-MM-dd"),
-    (r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$", "yyyy/MM/dd"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"),
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}$", "yyyy-MM-dd'T'HH:mm:ss"),
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}(?:Z|[+-][0-9]{2}:[0-9]{2})$", "yyyy-MM-dd'T'HH:mm:ssXXX"),
-    (r"^[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}$", "d MMM yyyy"),
-    (r"^[0-9]{1,2} [A-Z][a-z]{3,8} [0-9]{4}$", "d MMMM yyyy"),
-    (r"^[A-Z][a-z]{2} [0-9]{1,2} [0-9]{4}$", "MMM d yyyy"),
-    (r"^[A-Z][a-z]{3,8} [0-9]{1,2} [0-9]{4}$", "MMMM d yyyy"),
-    (r"^[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4} [0-9:]{8} [+-][0-9]{4}$", "d MMM yyyy HH:mm:ss xx"),
-]
+# The months in order, by their first three letters.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_CLOCK = (
+    r"(?:(?:T| )([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,9}))?)?(?: ?([AaPp])[Mm])?"
+    r"(?: ?(Z|[+-][0-9]{2}(?::?[0-9]{2})?))?)?$"
+)
+_YEAR_FIRST = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + _CLOCK
+_YEAR_LAST = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + _CLOCK
+_DAY_MONTH = r"^([0-9]{1,2})[ -]([A-Za-z]{3,9})[ -]([0-9]{4})" + _CLOCK
+_MONTH_DAY = r"^([A-Za-z]{3,9}) ([0-9]{1,2}) ([0-9]{4})" + _CLOCK
+
+
+def _month_number(name: Column) -> Column:
+    at = F.array_position(literal_array(list(MONTHS)), F.lower(F.left(name, F.lit(3))))
+    return F.when(at > 0, at.cast("string"))
 
 
 def parse_date(raw: Column) -> Column:
-    """UTC timestamp of a raw date, null if it cannot be read; no zone means UTC."""
-    t = F.trim(F.regexp_replace(raw, r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+", ""))
-    t = F.regexp_replace(F.regexp_replace(t, r"(?<=[A-Za-z])\.|,", ""), r"\s+(GMT|UTC)$", " +0000")
-    t = F.regexp_replace(t, r"\s+", " ")
+    """UTC timestamp of a raw date, null if it cannot be read; no zone means UTC.
+
+    Year first, year last (the month before the day, unless it cannot be one), or a month's name;
+    separated by dashes, slashes, dots or blanks; with or without a time of day to the minute,
+    second or fraction, AM or PM, and an offset in any usual form.
+    """
+    t = F.regexp_replace(F.trim(raw), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*[.,]?\s+", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?<=[A-Za-z])\.|,(?![0-9])", ""), r"\s*(?:GMT|UTC)$", "Z")
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+
+    def part(pattern: str, k: int) -> Column:
+        return F.regexp_extract(t, pattern, k)
+
+    def moment(pattern: str, year: Column, month: Column, day: Column) -> Column:
+        hour, half = part(pattern, 4), F.lower(part(pattern, 8))
+        h = F.when(hour == "", "0").otherwise(hour).cast("int")
+        h = F.when(half == "p", h % 12 + 12).when(half == "a", h % 12).otherwise(h)
+
+        def two(x: Column) -> Column:
+            return F.lpad(x.cast("string"), 2, "0")
+
+        offset = part(pattern, 9)
+        digits = F.rpad(F.regexp_replace(offset, "[^0-9]", ""), 4, "0")
+        zone = F.when((offset == "") | (offset == "Z"), "Z").otherwise(
+            F.concat(F.left(offset, F.lit(1)), F.left(digits, F.lit(2)), F.lit(":"), F.right(digits, F.lit(2)))
+        )
+        text = F.concat(
+            year, F.lit("-"), two(month), F.lit("-"), two(day), F.lit(" "), two(h), F.lit(":"), F.lpad(part(pattern, 5), 2, "0"),
+            F.lit(":"), F.lpad(part(pattern, 6), 2, "0"), F.lit("."), F.rpad(part(pattern, 7), 6, "0"), zone,
+        )
+        return F.when(t.rlike(pattern), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSSXXX")))
+
+    first, second = part(_YEAR_LAST, 1), part(_YEAR_LAST, 2)
+    swapped = F.try_to_number(first, F.lit("99")) > 12
     return F.coalesce(
-        *[F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt))) for shape, fmt in _DATE_READERS]
+        moment(_YEAR_FIRST, part(_YEAR_FIRST, 1), part(_YEAR_FIRST, 2), part(_YEAR_FIRST, 3)),
+        moment(_YEAR_LAST, part(_YEAR_LAST, 3), F.when(swapped, second).otherwise(first), F.when(swapped, first).otherwise(second)),
+        moment(_DAY_MONTH, part(_DAY_MONTH, 3), _month_number(part(_DAY_MONTH, 2)), part(_DAY_MONTH, 1)),
+        moment(_MONTH_DAY, part(_MONTH_DAY, 3), _month_number(part(_MONTH_DAY, 1)), part(_MONTH_DAY, 2)),
     )
 
 

@@ -175,19 +175,30 @@ def article_cards(pages: DataFrame) -> DataFrame:
     return first.select("page_id", "card_url", "c.title", "c.description")
 
 
+# Elements whose text makes a block.
+BLOCK_TAGS = "p|li|blockquote|h1|h2|h3|h4|h5|h6|td|pre"
+
+
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """Paragraph blocks of each page, in order, with whether they lie in the article."""
-    html = drop_noise(F.col("html"))
-    pos = F.instr(F.lower(html), "<article")
-    parts = F.split(html, r"(?i)<p\b[^>]*>")
+    """Text blocks of each page, in order, with whether they open within the article."""
+    # marks that no page holds: a block opens, the article opens, the article ends
+    html = F.translate(drop_noise(F.col("html")), "\x01\x02\x03", "")
+    html = F.regexp_replace(html, rf"(?i)<(?:{BLOCK_TAGS})\b[^>]*>", "\x01")
+    html = F.regexp_replace(F.regexp_replace(html, r"(?i)<article\b[^>]*>", "\x02"), r"(?i)</article>", "\x03")
+
+    def blocks(part: Column) -> Column:
+        pieces = F.split(part, "\x01")
+        inside = F.startswith(part, F.lit("\x02"))
+        return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda t: F.struct(inside.alias("inside"), t.alias("t")))
+
+    parts = F.split(html, "(?=[\x02\x03])")
     return (
-        pages.withColumn("_in", pos > 0)
-        .select("page_id", "_in", F.posexplode(F.slice(parts, 2, 1_000_000_000)).alias("block", "t"))
+        pages.select("page_id", F.posexplode(F.flatten(F.transform(parts, blocks))).alias("block", "b"))
         .select(
             "page_id",
             F.col("block").cast("long").alias("block"),
-            F.col("_in").alias("in_article"),
-            plain_text(F.regexp_replace("t", r"(?is)</p>.*$", "")).alias("text"),
+            F.col("b.inside").alias("in_article"),
+            plain_text(F.regexp_replace("b.t", rf"(?is)</(?:{BLOCK_TAGS})>.*$", "")).alias("text"),
         )
         .where("text <> ''")
     )
@@ -197,6 +208,8 @@ def match_blocks(blocks: DataFrame, snippets: DataFrame, min_share: float = 0.6)
     """Best block for each snippet: blocks holding its anchor first (article before page), ranked by
     twice the snippet's word hits plus the context's; else the best share of snippet words."""
     def clean(c):
+        # typographic quotes and dashes to plain ones, characters without width dropped
+        c = F.translate(c, "\u2018\u2019\u201c\u201d\u2014\u2013\u200b\u200c\u200d\u2060\ufeff\u00ad", "''''--")
         return F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\r\f]+", " "))
 
     def words(c):

@@ -68,7 +68,7 @@ def reconcile(ws):
     return rp.reconcile_second_pass(found, original, 0.10)
 
 
-view("number_words", "SELECT clip_id, pos, start_ms, end_ms, CASE WHEN pos % 11 = 0 THEN (pos * 7919) % 1200000 || ',' WHEN pos % 13 = 5 THEN '-' || pos % 21 ELSE word END AS word FROM words")
+view("number_words", "SELECT clip_id, pos, start_ms, end_ms, CASE WHEN pos % 11 = 0 THEN (pos * 7919) % 1200000 || ',' WHEN pos % 13 = 5 THEN '-' || pos % 21 WHEN pos % 17 = 3 THEN '000' || pos || repeat('7', pos % 30) || '.' ELSE word END AS word FROM words")
 
 
 def number_words(ws):
@@ -76,6 +76,7 @@ def number_words(ws):
     word = (
         F.when(F.col("pos") % 11 == 0, F.concat((F.col("pos") * 7919 % 1200000).cast("string"), F.lit(",")))
         .when(F.col("pos") % 13 == 5, F.concat(F.lit("-"), (F.col("pos") % 21).cast("string")))
+        .when(F.col("pos") % 17 == 3, F.concat(F.lit("000"), F.col("pos").cast("string"), F.expr("repeat('7', CAST(pos % 30 AS INT))"), F.lit(".")))
         .otherwise(F.col("word"))
     )
     return w.withColumn("word", word)
@@ -89,10 +90,11 @@ def _below(n):
 
 
 SPOKEN = f"""
-SELECT clip_id, pos, start_ms, end_ms, CASE WHEN v IS NULL THEN word WHEN v < 1000 THEN {_below('v')}
-  WHEN v < 1000000 THEN concat_ws(' ', {_below('t')}, 'thousand', CASE WHEN r > 0 THEN {_below('r')} END) ELSE CAST(v AS VARCHAR) END AS spoken, v
-FROM (SELECT *, v // 1000 AS t, v % 1000 AS r FROM (SELECT *, CASE WHEN regexp_full_match(c, '[0-9]+') THEN CAST(c AS BIGNUM) END AS v
-  FROM (SELECT *, rtrim(ltrim(trim(word), '-'), '.,!?;:"''') AS c FROM number_words)))
+SELECT clip_id, pos, start_ms, end_ms, CASE WHEN dg IS NULL THEN word WHEN v IS NULL THEN dg WHEN v < 1000 THEN {_below('v')}
+  ELSE concat_ws(' ', {_below('t')}, 'thousand', CASE WHEN r > 0 THEN {_below('r')} END) END AS spoken, v
+FROM (SELECT *, v // 1000 AS t, v % 1000 AS r FROM (SELECT *, CASE WHEN length(dg) <= 6 THEN CAST(dg AS BIGINT) END AS v
+  FROM (SELECT *, CASE WHEN regexp_full_match(c, '[0-9]+') THEN CASE WHEN ltrim(c, '0') = '' THEN '0' ELSE ltrim(c, '0') END END AS dg
+  FROM (SELECT *, rtrim(ltrim(trim(word), '-'), '.,!?;:"''') AS c FROM number_words))))
 """
 
 

@@ -162,7 +162,13 @@ def feed_files(ws):
         F.lit("<item><title>"), esc(F.col("title")), F.lit("</title><link> "), esc(F.col("url")), F.lit(" </link><description>"),
         esc(F.col("description")), F.lit("</description><pubDate>2024-01-05</pubDate></item>"),
     )
-    a.select(item.alias("value")).mapInPandas(_as_feed, "value string").write.text(p)
+    entry = F.concat(
+        F.lit('<entry><link rel="self" href="http://feed/"/><link rel="alternate" href="'), esc(F.col("url")), F.lit('"/><title>'),
+        esc(F.col("title")), F.lit("</title><summary>"), esc(F.col("description")), F.lit("</summary><updated>2024-01-05T10:00:00.123Z</updated></entry>"),
+    )
+    atom = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    for kind, rows in ((item, a.where(~atom)), (entry, a.where(atom))):
+        rows.select(kind.alias("value")).mapInPandas(_as_feed, "value string").write.mode("append").text(p)
     return fd.read_feed_items(ws.spark, p).select("id", "url", "title", "description")
 
 
@@ -246,13 +252,45 @@ def source_series(ws):
 # -- streams ------------------------------------------------------------------------------
 
 
+# The given events land in three lots; a job runs after each, as it would day by day.
+
+
+def _landings(ws, lot, mark=None):
+    """Yields a stream over the landing folder after each lot; ``mark`` is a last row far ahead in time,
+    which lets the watermark pass all events."""
+    events = ws.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = _path(ws, "landing")
+    schema = events.schema
+    for k in range(3):
+        events.where(lot(F) == k).coalesce(1).write.mode("append").parquet(folder)
+        yield jobs.landed_stream(ws.spark, folder, schema)
+    if mark:
+        far = events.agg(F.max("ts").alias("ts")).select(
+            *[(F.col("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+        )
+        far.write.mode("append").parquet(folder)
+        yield jobs.landed_stream(ws.spark, folder, schema)
+
+
+def _shuffled(F):
+    """Lots at random: rows come late by up to the whole span of time."""
+    return F.pmod(F.xxhash64("event_id"), F.lit(3))
+
+
+def _jittered(F):
+    """Lots of ten days, with rows up to half a day out of order."""
+    shift = F.pmod(F.xxhash64("event_id"), F.lit(43200))
+    return F.least(F.lit(2), F.floor((F.unix_timestamp("ts") + shift - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 864000))
+
+
 @query("t01_insert_or_ignore_stream", "SELECT user_id * 1000 + event_id % 40 AS id FROM events GROUP BY 1")
 def upsert(ws):
-    e = jobs.file_stream(ws.spark, ws.sf_dir, "events")
-    items = e.select((F.col("user_id") * 1000 + F.col("event_id") % 40).alias("id"), "ts")
     p = _path(ws, "upsert")
-    jobs.upsert_stream(items, "id", "ts", "1 hour", f"{p}/rows", f"{p}/ckpt")
-    return ws.spark.read.parquet(f"{p}/rows").select("id")
+    for events in _landings(ws, _shuffled):
+        items = events.select((F.col("user_id") * 1000 + F.col("event_id") % 40).alias("id"), "ts")
+        jobs.upsert_stream(items, "id", "ts", f"{p}/rows", f"{p}/first")
+    jobs.upsert_stream(items, "id", "ts", f"{p}/rows", f"{p}/again")  # a new checkpoint on an old store
+    return jobs.stored(ws.spark, f"{p}/rows", items.schema).select("id")
 
 
 @query("t02_since_cursor", """
@@ -270,11 +308,13 @@ SELECT idea_id, CASE WHEN d IS NOT NULL THEN 'rejected' ELSE 'viewed' END AS sta
   SELECT event_id // 3 AS idea_id, min(event_id) FILTER (event_type = 'error') AS d FROM events WHERE event_type IN ('error', 'click', 'purchase') GROUP BY 1)
 """)
 def response_stream(ws):
-    e = jobs.file_stream(ws.spark, ws.sf_dir, "events").where(F.col("event_type").isin("error", "click", "purchase"))
-    r = e.select(F.floor(F.col("event_id") / 3).alias("idea_id"), F.when(F.col("event_type") == "error", "delete").otherwise("keep").alias("action"), F.col("event_id").alias("arrival"))
     p = _path(ws, "responses")
-    jobs.response_stream(r, f"{p}/rows", f"{p}/ckpt")
-    return ws.spark.read.parquet(f"{p}/rows")
+    for events in _landings(ws, _shuffled):
+        e = events.where(F.col("event_type").isin("error", "click", "purchase"))
+        r = e.select(F.floor(F.col("event_id") / 3).alias("idea_id"), F.when(F.col("event_type") == "error", "delete").otherwise("keep").alias("action"), F.col("event_id").alias("arrival"))
+        jobs.response_stream(r, f"{p}/rows", f"{p}/first")
+    jobs.response_stream(r, f"{p}/rows", f"{p}/again")
+    return jobs.response_status(ws.spark, f"{p}/rows")
 
 
 @query("t04_min_gap_stream", """
@@ -284,10 +324,11 @@ f AS (SELECT user_id, rn, event_id, true AS ok, t AS last FROM o WHERE rn = 1
 SELECT user_id, event_id FROM f WHERE ok
 """)
 def limiter(ws):
-    out = jobs.limited_events(jobs.file_stream(ws.spark, ws.sf_dir, "events"), 14400, "1 day")
     p = _path(ws, "limiter")
-    jobs.run_available(out, lambda b, i: b.write.mode("overwrite").parquet(f"{p}/rows/batch={i}"), f"{p}/ckpt")
-    return ws.spark.read.parquet(f"{p}/rows").select("user_id", "event_id")
+    for events in _landings(ws, _jittered, mark=True):
+        out = jobs.limited_events(events, 14400, "1 day")
+        jobs.append_stream(out, f"{p}/rows", f"{p}/first")
+    return jobs.stored(ws.spark, f"{p}/rows", out.schema).where("user_id is not null").select("user_id", "event_id")
 
 
 @query("t05_sessions", """
@@ -296,7 +337,11 @@ SELECT user_id, count(*) AS n, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CA
   FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s
 """)
 def session_rows(ws):
-    s = jobs.sessions(ws.table("events").withColumn("ts", F.col("ts").cast("timestamp")), "2 hours")
+    p = _path(ws, "sessions")
+    for events in _landings(ws, _jittered, mark=True):
+        out = jobs.sessions(events, "2 hours", "1 day")
+        jobs.append_stream(out, f"{p}/rows", f"{p}/first")
+    s = jobs.stored(ws.spark, f"{p}/rows", out.schema).where("user_id is not null")
     return s.select("user_id", "n", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
 
 
@@ -304,8 +349,10 @@ def session_rows(ws):
 SELECT event_type AS series, 'u' || user_id AS slug, row_number() OVER (PARTITION BY event_type ORDER BY min(event_id)) AS number FROM events GROUP BY 1, 2
 """)
 def registry_stream(ws):
-    e = jobs.file_stream(ws.spark, ws.sf_dir, "events")
-    a = e.select(F.col("event_type").alias("series"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("slug"), F.col("event_id").alias("arrival"))
     p = _path(ws, "registry")
-    jobs.numbering_stream(a, f"{p}/rows", f"{p}/ckpt")
-    return ws.spark.read.parquet(f"{p}/rows/batch=0")
+    last = ws.table("events").agg(F.max("event_id")).first()[0]
+    for events in _landings(ws, lambda F: F.floor(F.col("event_id") * 3 / (last + 1))):
+        a = events.select(F.col("event_type").alias("series"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("slug"), F.col("event_id").alias("arrival"))
+        jobs.numbering_stream(a, f"{p}/rows", f"{p}/first")
+    jobs.numbering_stream(a, f"{p}/rows", f"{p}/again")
+    return jobs.stored(ws.spark, f"{p}/rows", jobs.NUMBERED).select("series", "slug", "number")

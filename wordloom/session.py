@@ -7,11 +7,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "wordloom", cpus: int | None = None) -> SparkSession:
-    """A local session for tests and benchmarks; a cluster supplies its own."""
+def build_session(app: str = "wordloom", cpus: int | None = None, shared: str | None = None) -> SparkSession:
+    """A local session for tests and benchmarks; a cluster supplies its own. ``shared``: the folder
+    for stored steps."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
+    builder = SparkSession.builder
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared).config("spark.sql.warehouse.dir", f"{shared}/warehouse")
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")

@@ -19,10 +19,32 @@ def looks_like_feed(body: Column) -> Column:
 
 
 def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of landed RSS files. Items without a link are dropped."""
-    schema = "link string, title string, description string, pubDate string, updated string"
-    raw = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-    return feed_items(raw.select("link", "title", F.col("description").alias("summary"), F.coalesce("pubDate", "updated").alias("raw_date")))
+    """Items of landed RSS files and entries of landed Atom files. Items without a link are dropped."""
+    rss = (
+        spark.read.format("xml")
+        .option("rowTag", "item")
+        .schema("link string, title string, description string, pubDate string, updated string")
+        .load(path)
+        .select("link", "title", F.col("description").alias("summary"), F.coalesce("pubDate", "updated").alias("raw_date"))
+    )
+    entries = (
+        spark.read.format("xml")
+        .option("rowTag", "entry")
+        .schema(
+            "link array<struct<_href:string,_rel:string>>, title string, summary string, content string, "
+            "published string, updated string"
+        )
+        .load(path)
+    )
+    # the page itself, not the feed or an enclosure
+    pages = F.filter("link", lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate"))
+    atom = entries.select(
+        F.coalesce(F.get(pages, F.lit(0)), F.get("link", F.lit(0)))["_href"].alias("link"),
+        "title",
+        F.coalesce("summary", "content").alias("summary"),
+        F.coalesce("published", "updated").alias("raw_date"),
+    )
+    return feed_items(rss.unionByName(atom))
 
 
 def feed_items(raw: DataFrame) -> DataFrame:
