@@ -224,13 +224,15 @@ def test_passages_match_brute_force(spark):
 
     passage = noise(90)
     rows = texts_of(spark)[:80]
-    # a passage in the midst of more different texts than a light key may have
+    # a passage in the midst of many different texts
     rows += [(1000 + i, noise(rng.randint(0, 90)) + passage + noise(rng.randint(0, 90))) for i in range(150)]
     rows += [(2000 + i, "ab" * rng.randint(10, 200) + noise(3)) for i in range(10)]
     rows += [(3000, passage[:49]), (3001, passage[:50]), (3002, None), (3003, ""), (3004, passage), (3005, passage)]
     rng.shuffle(rows)
-    got = repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got} == removed(rows)
+    want, docs = removed(rows), spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for heavy in (4096, 20):  # no key is heavy, then the passage's are
+        got = repeated_passages(docs, heavy=heavy).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got} == want
 
 
 def test_quality_counts_match_brute_force(spark):
