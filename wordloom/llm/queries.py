@@ -14,7 +14,7 @@ from wordloom.llm.near_dups import near_duplicates
 from wordloom.llm.shards import place, slots
 from wordloom.llm.site_lines import MIN_PAGES, RATIO, drop_site_lines
 from wordloom.llm.suffix_dedup import repeated_passages
-from wordloom.llm.urls import judge_urls
+from wordloom.llm.urls import HOST_RULES, PATTERN_RULES, judge_urls
 from wordloom.llm.warc import round_trip
 
 SHARDS = 24
@@ -101,4 +101,50 @@ QUERIES = {
     "op10_url_rules": op10_url_rules,
 }
 
-ORACLES: dict[str, str] = {}
+_SPACE = r"[\t\n\x0B\f\r ]"
+_SHINGLES = """(SELECT DISTINCT {id}, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+    WHEN len(w) > 0 THEN ['short ' || array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM (SELECT {id}, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}))"""
+
+
+def _host_rule_sql() -> str:
+    cases = []
+    for r in sorted(HOST_RULES, key=lambda r: (len(r.name), r.name), reverse=True):
+        host, slash, rest = r.name.partition("/")
+        cases.append(f"WHEN (host = '{host}' OR suffix(host, '.{host}')) AND starts_with(path, '{slash + rest}') THEN '{r.name}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+def _pattern_sql() -> str:
+    ordered = sorted(PATTERN_RULES, key=lambda r: (len(r.name), r.name), reverse=True)
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(url, '')), '{r.pattern}') THEN '{r.name}'" for r in ordered) + " END"
+
+
+_VERDICTS = " ".join(f"WHEN '{r.name}' THEN '{r.verdict}'" for r in (*HOST_RULES, *PATTERN_RULES))
+
+ORACLES: dict[str, str] = {
+    "op4_site_lines": rf"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, regexp_replace(regexp_replace(line, '^{_SPACE}+', ''), '{_SPACE}+$', '') AS key FROM l),
+seen AS (SELECT source, key, count(DISTINCT doc_id) AS n FROM k WHERE key <> '' GROUP BY ALL),
+bad AS (SELECT DISTINCT s.source, s.key FROM seen s JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY ALL) t
+  ON s.source IS NOT DISTINCT FROM t.source WHERE n >= {MIN_PAGES} AND n > {RATIO} * pages)
+SELECT k.doc_id, k.source, count(*) AS n_lines, count(*) FILTER (b.key IS NOT NULL) AS n_dropped,
+  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (b.key IS NULL), '') AS text
+FROM k LEFT JOIN bad b ON k.source IS NOT DISTINCT FROM b.source AND k.key = b.key GROUP BY ALL
+""",
+    "op5_contained_items": f"""
+WITH d AS MATERIALIZED {_SHINGLES.format(id="doc_id", table="documents")}, q AS MATERIALIZED {_SHINGLES.format(id="item_id", table="benchmark")}
+SELECT doc_id, item_id, count(*) AS n_common, n AS n_item, count(*) / n AS containment
+FROM d JOIN q USING (s) JOIN (SELECT item_id, count(*) AS n FROM q GROUP BY ALL) USING (item_id)
+GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
+""",
+    "op10_url_rules": rf"""
+SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN pattern END AS pattern,
+  coalesce(CASE coalesce(rule, pattern) {_VERDICTS} END, 'allow') AS verdict
+FROM (SELECT *, {_host_rule_sql()} AS rule, {_pattern_sql()} AS pattern FROM (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)))
+""",
+}

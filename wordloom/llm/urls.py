@@ -65,7 +65,7 @@ HOST_RULES = (
 
 #: The method's own pattern rules for URLs that no host rule fits.
 PATTERN_RULES = (
-    UrlRule("spam-farm", "block", r"://(?:[^/?#]*[.-])?spam-?farm[.-]", ("spam", "farm"), True),
+    UrlRule("spam-farm", "block", r"://(?:[^/?#]*[.-])?spam-farm[.-]", ("spam", "farm"), True),
     UrlRule("link-farm", "block", r"://(?:[^/?#]*[.-])?link-farm[.-]", ("link", "farm"), True),
     UrlRule("casino", "block", r"[/.-]casino(?:[/.-]|$)", ("casino",), True),
     UrlRule("porn", "block", r"[/.-]porn(?:[/.-]|$)", ("porn",), True),
