@@ -36,10 +36,10 @@ from pyspark.sql import types as T
 
 #: Parts up to which a word is merged by scanning.
 SHORT = 64
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 PIECE = 1 << 16
 #: Words held before their ids are looked up.
-GATHER = 100_000
+GATHER = 50_000
 NONE = np.int32(2**31 - 1)
 #: Lower case that Python's own tables lack or do by context. Fixed values of Unicode 16.
 LOWER = str.maketrans({
