@@ -26,8 +26,8 @@ SELECT substr(sha256(url), 1, 16) AS id, * FROM (
       WHEN 0 THEN 'blog/' || doc_id WHEN 1 THEN '2024/03/' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || '/' || doc_id
       WHEN 2 THEN 'tag/' || doc_id ELSE 'post/' || doc_id || '#c' END AS url,
     CASE WHEN doc_id % 2 = 0 THEN 'evergreen' ELSE 'news' END AS series,
-    substr(split_part(text, chr(10), 1), 1, 120) AS title,
-    substr(text, 121, 500) AS description,
+    split_part(text, chr(10), 1) AS title,
+    text AS description,
     CASE WHEN doc_id % 17 <> 0 THEN date '2024-01-01' + CAST(doc_id * 7919 % 400 AS INTEGER) END AS published,
     CASE source WHEN 'src3' THEN 1 WHEN 'src5' THEN 2 ELSE 0 END AS init_score
   FROM documents)
@@ -58,8 +58,8 @@ def articles(ws):
         F.col("source").alias("source_name"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), tail).alias("url"),
         F.when(i % 2 == 0, "evergreen").otherwise("news").alias("series"),
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 120).alias("title"),
-        F.substring("text", 121, 500).alias("description"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        F.col("text").alias("description"),
         F.when(i % 17 != 0, F.date_add(F.lit("2024-01-01"), (i * 7919 % 400).cast("int"))).alias("published"),
         F.when(F.col("source") == "src3", 1).when(F.col("source") == "src5", 2).otherwise(0).alias("init_score"),
     )
