@@ -235,6 +235,13 @@ def test_passages_match_brute_force(spark):
         assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got} == want
 
 
+def test_passages_of_texts_that_share_nothing(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(200))) for i in range(6)] + [(9, "short")]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got} == removed(rows)
+
+
 def test_quality_counts_match_brute_force(spark):
     rows = texts_of(spark) + [(900, None), (901, "a b " * 30), (902, "x\n\nx\n y\n"), (903, "#$ |A| <1>&%*")]
     got = judge_quality(spark.createDataFrame([(d, t, None) for d, t in rows], "doc_id bigint, text string, lang string")).collect()
