@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from wordloom.functions import evidence as ev
 from wordloom.functions import urls as ur
-from wordloom.functions.markup import article_of
+from wordloom.functions.markup import CLASS_PARTS, NOISE_TAGS, article_of
 from wordloom.functions.topk import top_per_key
 
 # Markers of an interstitial served instead of the page.
@@ -18,18 +18,11 @@ BLOCK_MARKERS = [
     "Attention Required! | Cloudflare", "Access Denied", "Pardon Our Interruption",
     "Checking your browser...", "X-Hashcash-Solution",
 ]
-# Elements that never hold article text.
-NOISE_TAGS = ["script", "style", "nav", "header", "footer", "aside"]
 # Article containers, best first, as (tag, attribute pattern).
 CONTAINERS = [
     ("article", ""),
     ("[a-z0-9]+", r'itemprop="articleBody"'),
-    ("[a-z0-9]+", r'class="[^"]*post-content'),
-    ("[a-z0-9]+", r'class="[^"]*article-content'),
-    ("[a-z0-9]+", r'class="[^"]*article-body'),
-    ("[a-z0-9]+", r'class="[^"]*blog-content'),
-    ("[a-z0-9]+", r'class="[^"]*entry-content'),
-    ("[a-z0-9]+", r'class="[^"]*post-body'),
+    *[("[a-z0-9]+", rf'class="[^"]*{part}') for part in CLASS_PARTS],
     ("main", ""),
     ("[a-z0-9]+", r'class="(?:[^"]* )?content[ "]'),
 ]
