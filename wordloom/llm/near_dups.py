@@ -3,7 +3,7 @@
 1. Each text's shingle set gives ``HASHES`` minima under universal hashes, (a x + b) >> 32 modulo 2^64.
    Texts with the same set are one class, named by its least doc_id; only classes go on.
 2. Banding: ``ROWS`` minima make a band key. Two sets with a Jaccard similarity of 0.85 share none of
-   the 32 keys with a chance of (1 - 0.85^4)^32 < 1e-10.
+   the 32 keys with a chance of (1 - 0.85^4)^32 < 1e-10; at 0.80, of (1 - 0.80^4)^32 < 5e-8.
 3. Candidates of a band are compared with its least class first: a star, not all pairs. Components follow.
    A band whose open classes lie in different components goes on. Of each of its classes, the shingles
    that no other open class has are counted: what is left of it must reach its share of a union with the
@@ -47,6 +47,8 @@ BANDS = HASHES // ROWS
 LEAST_EQUAL = 80
 #: Linked from this percentage of the union in the intersection.
 PERCENT = 85
+#: Both for ``keep_one_of_each`` (expected at 0.80: 102, deviation 4.5; fewer than 73 with a chance below 1e-9).
+KEEP_PERCENT, KEEP_LEAST_EQUAL = 80, 73
 #: Pivots of a band in the first round after the star; four times as many in each further one.
 PIVOTS = 2
 
@@ -246,12 +248,14 @@ def near_duplicates(
     )
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = KEEP_PERCENT, least_equal: int = KEEP_LEAST_EQUAL
+) -> DataFrame:
     """``docs`` without the documents that near duplicates with a smaller id stand for.
 
     Rows that share an id stay together if any of them stays; rows with a null id stay.
     """
-    found = near_duplicates(docs, id_col, text, percent)
+    found = near_duplicates(docs, id_col, text, percent, least_equal)
     gone = (
         found.where(F.col(id_col).isNotNull())
         .groupBy(id_col)
