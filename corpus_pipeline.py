@@ -37,13 +37,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that stand on too many pages of their source. A page of which nothing would be left
-    is a copy, not a template: it stays as it is, for the next stage."""
-    cleaned = drop_site_lines(docs.select(*COLUMNS, F.col("text").alias("_before")), "source", "text")
-    left = F.col("text").rlike("[^\\t-\\r ]") | (F.col("n_dropped") == 0)
-    text = F.when(left | F.col("text").isNull(), F.col("text")).otherwise(F.col("_before"))
+    """Drops lines that stand on too many pages of their source. A page that holds nothing else stays as
+    an empty text."""
+    cleaned = drop_site_lines(docs.select(*COLUMNS), "source", "text")
     length = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
-    return cleaned.withColumn("text", text).withColumn("n_chars", length).select(*COLUMNS)
+    return cleaned.withColumn("n_chars", length).select(*COLUMNS)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

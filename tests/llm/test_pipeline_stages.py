@@ -1,8 +1,9 @@
 """Pipeline stages against brute force."""
 
 import random
+from collections import Counter
 
-from corpus_pipeline import minhash_dedup
+from corpus_pipeline import line_dedup, minhash_dedup
 from test_llm_exact import shingles
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -29,3 +30,30 @@ def test_minhash_dedup_links_from_80_percent(spark):
     got = {r.doc_id for r in minhash_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").select("doc_id").collect()}
     gone = {i + 1 for i in range(0, len(texts), 2) if similarity(texts[i], texts[i + 1]) >= 0.8}
     assert got == set(range(len(texts))) - gone and 0 < len(gone) < 60
+
+
+def lines_left(rows):
+    """The texts without the lines on at least 5 pages and over 5 % of the pages of their source."""
+    pages, seen = Counter(), Counter()
+    for _, text, _, source, _ in rows:
+        pages[source] += 1
+        seen.update({(source, x.strip()) for x in text.split("\n") if x.strip()})
+    bad = {(s, x) for (s, x), n in seen.items() if n >= 5 and n > 0.05 * pages[s]}
+    return {d: "\n".join(x for x in text.split("\n") if (s, x.strip()) not in bad) for d, text, _, s, _ in rows}
+
+
+def test_line_dedup_drops_what_is_boilerplate_on_every_page(spark):
+    rng = random.Random(12)
+    lines = [f"menu {i}" for i in range(6)]
+    texts = [f"own line {i}\n{lines[i % 6]}\nmore of {i}" for i in range(60)]
+    # pages of boilerplate lines only, combined differently, and copies of one of them
+    texts += ["\n".join(rng.sample(lines, 1 + i % 5)) for i in range(20)] + ["menu 1\n menu 2"] * 3
+    # near copies with a line of their own, on over 5 % of the pages
+    body = "\n".join(f"shared line {i} of the body" for i in range(20))
+    texts += [f"{body}\ncopy {i}" for i in range(8)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)] + [(1000 + i, "menu 1", "en", "b", 6) for i in range(4)]
+    want = lines_left(rows)
+    got = line_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(rows)
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert sum(not t for t in want.values()) == 23
