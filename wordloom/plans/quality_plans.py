@@ -22,8 +22,8 @@ def retake_edl(ws):
 
 
 def script_lines(ws):
-    """Two lines per clip: one of its own sentences, slightly reworded, and one of the next clip's."""
-    s = wd.numbered_sentences(ws.words(), 600).where(F.col("sentence").isin(3, 5))
+    """Every sentence of a clip, slightly reworded, and every fifth one of the next clip's."""
+    s = wd.numbered_sentences(ws.words(), 600)
     text = F.array_join(
         F.transform(
             F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("pos") % 9 != 4, F.col("word")).otherwise("see")))),
@@ -32,8 +32,9 @@ def script_lines(ws):
         " ",
     )
     t = s.groupBy("clip_id", "sentence").agg(text.alias("text"))
-    own = t.where("sentence = 3").select("clip_id", F.lit(0).cast("long").alias("line_id"), "text")
-    other = t.where("sentence = 5").select((F.col("clip_id").cast("long") + 1).cast("string").alias("clip_id"), F.lit(1).cast("long").alias("line_id"), "text")
+    own = t.select("clip_id", (F.col("sentence") * 2).alias("line_id"), "text")
+    after = (F.col("clip_id").cast("long") + 1).cast("string")
+    other = t.where("sentence % 5 = 0").select(after.alias("clip_id"), (F.col("sentence") * 2 + 1).alias("line_id"), "text")
     return own.unionByName(other)
 
 
