@@ -10,9 +10,11 @@ from wordloom.operators import ideas as idl
 from wordloom.operators import intervals as iv
 from wordloom.operators import quality as ql
 from wordloom.operators import repair as rp
+from wordloom.operators import retakes as rt
 from wordloom.operators import timeline as tl
 from wordloom.operators import variants as va
 from wordloom.operators import words as wd
+from wordloom.params import SHIPPED
 from wordloom.plans.oracle_views import view
 from wordloom.plans.registry import query
 
@@ -72,12 +74,20 @@ def unsupported(ws):
     return ql.unsupported_claims(r, w)
 
 
+def detected_retakes(ws):
+    """Judged candidates and cut ranges of the conversations, the corpus that d17 reviews."""
+    takes = ws.stored("takes_conversations", lambda: rt.take_facts(ws.words(), SHIPPED))
+    pairs = ws.stored("retake_pairs_conversations", lambda: rt.judged_pairs(takes, SHIPPED))
+    return pairs, ws.stored("retakes_conversations", lambda: rt.combined_ranges(takes, pairs, SHIPPED))
+
+
 @query("d17_review_flags")
 def flags(ws):
-    none = ws.spark.createDataFrame([], "clip_id string, cut_start_ms bigint, ngram string, skip_reason string, kept boolean")
-    cov = coverage(ws)
+    pairs, ranges = detected_retakes(ws)
+    edl = ws.stored("detected_edl", lambda: iv.split_at_spans(ws.edl(), ranges, "retake"))
+    cov = ws.stored("detected_coverage", lambda: ql.script_coverage(script_lines(ws), ws.words(), tl.kept_words(ws.words(), edl)))
     capped = rp.expand_to_sentences(rp.raw_windows(ws.words(), 700, 0.35, 300, 600, 100), ws.words(), 600)
-    return ql.review_flags(ws.words(), retake_edl(ws), ws.gaps(), none, ws.drops(), 600, 750, 200, cov, capped)
+    return ql.review_flags(ws.words(), edl, ws.gaps(), pairs, ranges, 600, 750, 200, cov, capped)
 
 
 @query("o06_flag_order", """
