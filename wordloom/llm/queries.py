@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.bpe import decode_ids, encode_texts
 from wordloom.llm.classifier import classify, document_vectors, fit, score
-from wordloom.llm.common import documents, keep
+from wordloom.llm.common import documents, keep, scratch, words
 from wordloom.llm.contamination import contained_items
+from wordloom.llm.digest_index import exact_duplicates
 from wordloom.llm.divergence import judge_quality
 from wordloom.llm.near_dups import near_duplicates
+from wordloom.llm.runs import periodic_runs
 from wordloom.llm.shards import place, slots
 from wordloom.llm.site_lines import MIN_PAGES, RATIO, drop_site_lines
 from wordloom.llm.suffix_dedup import repeated_passages
@@ -88,6 +90,46 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(documents(spark, sf_dir, "pages"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; every tenth id, by its CRC, repeats a part of its words to the end of the text."""
+    named = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    hit = named.withColumn("w", F.when(F.col("h") % 10 == 0, words(F.col("text"))))
+    g, n = F.floor(F.col("h") / 10), F.size("w")
+    hit = hit.withColumn("a", F.when(n > 0, g % n).cast("int"))
+    hit = hit.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    turn = F.slice("w", F.col("a") + 1, F.col("p"))
+    rest = n - F.col("a")
+    turns = F.flatten(F.array_repeat(turn, F.floor(rest / F.col("p")).cast("int")))
+    changed = F.concat(F.slice("w", F.lit(1), F.col("a")), turns, F.slice("w", F.col("a") + 1, rest % F.col("p")))
+    return hit.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periods(documents(spark, sf_dir)))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    # runs stand in the order of start and period, so only a greater exponent takes the place
+    better = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    best = F.col("best")
+    return found.withColumn("best", F.aggregate("runs", F.get("runs", F.lit(0)), better)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    judged = exact_duplicates(documents(spark, sf_dir), scratch(spark, "digest-index"), buckets)
+    return judged.select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_shard_tree": op2_shard_tree,
@@ -99,6 +141,8 @@ QUERIES = {
     "op8_warc_chunks": op8_warc_chunks,
     "op9_discriminant": op9_discriminant,
     "op10_url_rules": op10_url_rules,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_digest_index": op13_digest_index,
 }
 
 _SPACE = r"[\t\n\x0B\f\r ]"
@@ -146,5 +190,10 @@ FROM (SELECT *, {_host_rule_sql()} AS rule, {_pattern_sql()} AS pattern FROM (
   SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)))
+""",
+    "op13_digest_index": """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """,
 }
