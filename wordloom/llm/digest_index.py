@@ -37,7 +37,8 @@ def digest(text: Column) -> Column:
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, digest and a tag that tells repeated rows apart; stored, so that the tag stays what it is."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), digest(F.col(text)).alias("digest"))
-    return keep(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
+    tag = F.concat_ws("-", F.lit(uuid.uuid4().hex[:16]), F.monotonically_increasing_id())
+    return keep(rows.withColumn("row", tag), "digests")
 
 
 class DigestIndex:
@@ -53,7 +54,7 @@ class DigestIndex:
         self.sightings, self.entries = f"sightings_{tag}", f"entries_{tag}"
         for name, more, folder in ((self.sightings, "n BIGINT, ", "sightings"), (self.entries, "", "entries")):
             spark.sql(
-                f"CREATE TABLE {name} (digest BINARY, {more}id BIGINT, row BIGINT, batch INT) USING parquet "
+                f"CREATE TABLE {name} (digest BINARY, {more}id BIGINT, row STRING, batch INT) USING parquet "
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}/{folder}'"
             )
 
