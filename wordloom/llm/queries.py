@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.bpe import decode_ids, encode_texts
 from wordloom.llm.classifier import classify, document_vectors, fit, score
+from wordloom.llm.collocations import collocations
 from wordloom.llm.common import documents, keep, scratch, words
 from wordloom.llm.contamination import contained_items
 from wordloom.llm.digest_index import exact_duplicates
@@ -122,6 +123,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_word_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 def op13_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     judged = exact_duplicates(documents(spark, sf_dir), scratch(spark, "digest-index"), buckets)
@@ -142,6 +147,7 @@ QUERIES = {
     "op9_discriminant": op9_discriminant,
     "op10_url_rules": op10_url_rules,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_word_index": op12_word_index,
     "op13_digest_index": op13_digest_index,
 }
 
@@ -190,6 +196,24 @@ FROM (SELECT *, {_host_rule_sql()} AS rule, {_pattern_sql()} AS pattern FROM (
   SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)))
+""",
+    "op12_word_index": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM p),
+g AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM w, range(1, 5) t(k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 30),
+inner_ AS (SELECT lang, unnest(flatten([[array_to_string(ws[i:i + m - 1], ' ') FOR i IN range(1, k - m + 2)] FOR m IN range(2, k)])) AS phrase, a AS most FROM c),
+gone AS (SELECT c.lang, c.phrase FROM c JOIN (SELECT lang, phrase, max(most) AS most FROM inner_ GROUP BY ALL) i USING (lang, phrase) WHERE 100 * most >= 80 * c.a),
+cuts AS (SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[j + 1:], ' ')),
+best AS (SELECT * FROM cuts WHERE (lang, phrase) NOT IN (SELECT (lang, phrase) FROM gone)
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) JOIN n USING (lang) WHERE rank <= 2000
 """,
     "op13_digest_index": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,

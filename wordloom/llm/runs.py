@@ -35,7 +35,7 @@ GROUP = 200_000
 BLOCK = 512
 
 
-def _renumber(rank: np.ndarray, at: np.ndarray, following: np.ndarray) -> np.ndarray:
+def refine(rank: np.ndarray, at: np.ndarray, following: np.ndarray) -> np.ndarray:
     """Ranks after one more doubling; ``at``: positions whose class is not settled, ``following``: the ranks
     of what follows them. A class is known by its first place in the order."""
     own = rank[at]
@@ -67,7 +67,7 @@ def suffix_order(words: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.nd
         # past the end of a text comes 0; ranks there are shifted by one
         inside = at + step < ends[at]
         following = np.where(inside, rank[np.minimum(at + step, n - 1)] + 1, 0)
-        rank = _renumber(rank, at, following)
+        rank = refine(rank, at, following)
         step *= 2
         size = np.bincount(rank[at], minlength=1)
         at = at[size[rank[at]] > 1]
