@@ -1,10 +1,13 @@
 """Pipeline stages against brute force."""
 
+import hashlib
 import random
 from collections import Counter
 
-from corpus_pipeline import line_dedup, minhash_dedup
+from corpus_pipeline import bpe_tokens, line_dedup, minhash_dedup
 from test_llm_exact import shingles
+from wordloom.llm import bpe
+from wordloom.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -57,3 +60,18 @@ def test_line_dedup_drops_what_is_boilerplate_on_every_page(spark):
     assert {r.doc_id: r.text for r in got} == want and len(got) == len(rows)
     assert all(r.n_chars == len(r.text) for r in got)
     assert sum(not t for t in want.values()) == 23
+
+
+def test_bpe_tokens_are_those_of_the_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "CHARACTERS", 300)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
+    texts = [None, "", "Some words, some more", "word " * 500, "x" * 1000, "Ünï cödé 漢字 😀"] * 4
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in bpe_tokens(spark, docs, "").collect()}
+    path = tokenizer_path()
+    for r in bpe.decode_ids(bpe.encode_texts(docs, path), path).collect():
+        row = got.pop(r.doc_id)
+        assert bytes(row.ids) == bytes(r.ids) and row.n_tokens == len(r.ids) // 4
+        assert row.ids_sha256 == hashlib.sha256(r.ids).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
+    assert not got

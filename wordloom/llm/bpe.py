@@ -6,8 +6,8 @@ two new neighbours are looked up again, until no adjacent pair has a rank. Words
 rows of one matrix, so that one scan serves thousands of words. A word beyond ``SHORT`` parts goes
 through a heap of ranks over linked parts, with the same result in n log n.
 
-Each Python worker remembers the words it has met (``CACHE_WORDS`` at most, then it starts anew), so
-the merges run once per distinct word. Nothing is shuffled. Texts are cut at blanks into pieces of
+Each Python worker remembers the words it has met (up to ``CACHE_WORDS`` words and ``CACHE_BYTES`` of them, then
+it starts anew), so the merges run once per distinct word. Nothing is shuffled. Texts are cut at blanks into pieces of
 about ``PIECE`` characters, so that the words of a long text are never all held as objects.
 
 Special token strings in a text become their ids, before any normalization. Then: NFC, lower case
@@ -22,6 +22,7 @@ repeated rows are encoded one by one; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import unicodedata
@@ -29,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,9 @@ from pyspark.sql import types as T
 #: Parts up to which a word is merged by scanning.
 SHORT = 64
 CACHE_WORDS = 100_000
+CACHE_BYTES = 8 << 20
+#: Rows and characters that are coded at once.
+ROWS, CHARACTERS = 256, 1 << 20
 PIECE = 1 << 16
 #: Words held before their ids are looked up.
 GATHER = 50_000
@@ -83,6 +88,7 @@ class WordBpe:
         self.marks = regex.compile(f"({marks})") if marks else None
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.met: dict[str, bytes] = {}
+        self.met_bytes = 0
 
     # -- merging -------------------------------------------------------------------------
 
@@ -162,9 +168,13 @@ class WordBpe:
     def learn(self, words: set[str]) -> None:
         """Encodes the words not met yet."""
         new = [w for w in words if w not in self.met]
-        if len(self.met) + len(new) > CACHE_WORDS:
+        size = sum(map(len, new))
+        if len(self.met) + len(new) > CACHE_WORDS or self.met_bytes + size > CACHE_BYTES:
             self.met.clear()
+            self.met_bytes = 0
             new = list(words)
+            size = sum(map(len, new))
+        self.met_bytes += size
         by_width: dict[int, list[tuple[str, bytes]]] = {}
         for w in new:
             data = w.encode()
@@ -292,3 +302,42 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts.cast(pa.string())], names=["_id", "ids", "decoded"])
 
     return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch (id, text), bounded in rows and, but for a longer text, in characters."""
+    lengths = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+    lo, held = 0, 0
+    for k, length in enumerate(lengths):
+        if k > lo and (k - lo == ROWS or held + length > CHARACTERS):
+            yield batch.slice(lo, k - lo)
+            lo, held = k, 0
+        held += length
+    if batch.num_rows:
+        yield batch.slice(lo)
+
+
+def code_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, n_tokens, ids, and the digests of the ids and of the text decoded from them.
+
+    One Python step: each worker holds the tokenizer once, and decoded texts never leave it.
+    """
+    file = _file_of(docs, path)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    schema = rows.select("_id").schema.add("n_tokens", "long").add("ids", "binary")
+    schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _open(path, file)
+        for batch in batches:
+            for part in _slices(batch):
+                ids = list(bpe.encode_all(t.as_py() or "" for t in part.column(1)))
+                columns = [
+                    pa.array([len(i) // 4 for i in ids], pa.int64()),
+                    pa.array(ids, pa.binary()),
+                    pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
+                    pa.array([hashlib.sha256(bpe.decode(i)).hexdigest() for i in ids], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
+
+    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
