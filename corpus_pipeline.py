@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.bpe import decode_ids, encode_texts
+from wordloom.llm.bpe import code_texts
 from wordloom.llm.classifier import THRESHOLD, features_of, fit, score
 from wordloom.llm.common import documents, keep
 from wordloom.llm.contamination import drop_contaminated
@@ -56,15 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian, 32 bits), and digests of ids and of the decoded text."""
-    path = tokenizer_path()
-    coded = decode_ids(encode_texts(docs, path), path)
-    return coded.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        "ids",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return code_texts(docs, tokenizer_path())
 
 
 STAGES = [
