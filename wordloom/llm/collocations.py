@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import keep
 from wordloom.llm.word_index import extend, holder, transforms
 
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 4_000_000
 #: Words of all languages that a task holds before it closes its shards.
-TASK_WORDS = 4_000_000
+TASK_WORDS = 8_000_000
 CHUNK = 4 << 20
 SCALE = 2_000_000
 LANGUAGE = "und"
