@@ -29,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import keep
+from wordloom.llm.common import keep, shuffles_dropped
 from wordloom.llm.word_index import extend, holder, transforms
 
 SHARD_WORDS = 4_000_000
 #: Words of all languages that a task holds before it closes its shards.
 TASK_WORDS = 8_000_000
 CHUNK = 4 << 20
+#: Ways to deal the rows of one prefix or suffix.
+DEALS = 8
 SCALE = 2_000_000
 LANGUAGE = "und"
 #: A name is shard * ROWS + row.
@@ -129,12 +131,20 @@ def index_shards(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
     return keep(rows.mapInArrow(work, INDEX), "word-index")
 
 
-def _frequent(counted: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Rows of phrases that occur ``least`` times in all shards, with ``a`` and the phrase's name."""
+def _frequent(counted: DataFrame, key: list[str], least: int, lead: str | None = None) -> DataFrame:
+    """Rows of phrases that occur ``least`` times in all shards, with ``a`` and the phrase's name.
+
+    A shard's rows come sorted by the part that ``lead`` names; they are dealt by that part, in ``DEALS`` ways
+    by the other, so that its rows stay together and no part makes a large task.
+    """
+    if lead is not None:
+        other = key[1 - key.index(lead)]
+        counted = counted.withColumn("deal", F.col(other) % DEALS).repartition(lead, "deal")
+        key = [*key, "deal"]
     same = Window.partitionBy(*key)
     name = F.col("shard") * ROWS + F.col("row")
     named = counted.withColumn("a", F.sum("count").over(same)).withColumn("id", F.min(name).over(same))
-    return keep(named.where(F.col("a") >= least), "frequent")
+    return keep(named.where(F.col("a") >= least).drop("deal"), "frequent")
 
 
 def _once(frequent: DataFrame) -> DataFrame:
@@ -188,23 +198,31 @@ def _assemble(frequent: DataFrame, shorter: DataFrame) -> DataFrame:
     )
 
 
-def collocations(
-    docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, covered: int = 80, text: str = "text", lang: str = "lang"
-) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases of 2 to ``longest`` words."""
+def _levels(docs: DataFrame, least: int, longest: int, text: str, lang: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Words per language, and the frequent phrases of each length from 2 on."""
     index = index_shards(docs, text, lang)
     entry = F.explode(F.arrays_zip("word", "count", "start")).alias("e")
     each = index.select("shard", "lang", entry).select("shard", "lang", "e.*")
     each = each.select("shard", "lang", "word", "count", F.col("start").alias("row"), F.col("start").alias("back"))
-    totals = each.groupBy(F.col("lang").alias("_lang")).agg(F.sum("count").alias("n"))
+    totals = keep(each.groupBy(F.col("lang").alias("_lang")).agg(F.sum("count").alias("n")), "totals")
     frequent = _frequent(each, ["lang", "word"], least)
     none = F.array().cast("array<bigint>")
     phrases = _once(frequent).select("id", "a", "lang", F.array("word").alias("words"), none.alias("heads"), none.alias("tails"))
     levels = []
     for length in range(2, longest + 1):
-        frequent = _frequent(_grow(index, frequent, right=length % 2 == 0), ["prefix", "suffix"], least)
+        right = length % 2 == 0
+        frequent = _frequent(_grow(index, frequent, right), ["prefix", "suffix"], least, "prefix" if right else "suffix")
         phrases = _assemble(frequent, phrases)
         levels.append(phrases)
+    return totals, levels
+
+
+def collocations(
+    docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, covered: int = 80, text: str = "text", lang: str = "lang"
+) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases of 2 to ``longest`` words."""
+    with shuffles_dropped(docs.sparkSession):
+        totals, levels = _levels(docs, least, longest, text, lang)
     kept = None
     for k, level in enumerate(levels):
         if k + 1 < len(levels):
