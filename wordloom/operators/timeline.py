@@ -361,6 +361,20 @@ def hook_edl(edl: DataFrame, hooks: DataFrame) -> DataFrame:
     )
 
 
+def trim_variants(variants: DataFrame, spans: DataFrame) -> DataFrame:
+    """Cut lists of (clip, target hook) with ``spans(clip_id, start_ms, end_ms)`` flipped to ``trim`` cuts in each."""
+    from wordloom.operators.intervals import split_at_spans
+
+    key = F.concat("clip_id", F.lit("#"), F.col("target").cast("string"))
+    targets = variants.select("clip_id", "target").distinct()
+    each = spans.join(targets, "clip_id").select(key.alias("clip_id"), "start_ms", "end_ms")
+    edl = variants.select(key.alias("clip_id"), "start_ms", "end_ms", "keep", "reason")
+    part = F.regexp_extract("clip_id", "^(.*)#([^#]*)$", 1), F.regexp_extract("clip_id", "^(.*)#([^#]*)$", 2)
+    return split_at_spans(edl, each, "trim").select(
+        part[0].alias("clip_id"), part[1].cast("long").alias("target"), "start_ms", "end_ms", "keep", "reason"
+    )
+
+
 def gap_fates(gaps: DataFrame, words: DataFrame, edl: DataFrame, pause_ms: int, floor_ms: int, pad_ms: int) -> DataFrame:
     """Why each gap was cut or kept, read back from the cut list."""
     from wordloom.operators.words import sentence_boundaries

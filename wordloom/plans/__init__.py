@@ -9,6 +9,7 @@ from wordloom.plans import (  # noqa: F401
     quality_plans,
     frame_plans,
     source_plans,
+    trim_plans,
 )
 from wordloom.plans.registry import ORACLES, QUERIES
 

@@ -275,10 +275,12 @@ def clamp(ws):
     return tl.clamp_to_hook(ws.cues().select("clip_id", "pos", "start_ms", "end_ms"), ends)
 
 
-@query("v20_apply_trims", "SELECT * FROM (" + split_edl("SELECT clip_id, start_ms, end_ms, keep, reason FROM hook_cuts WHERE target = 1", "SELECT * FROM drops", "trim") + ")")
+@query("v20_apply_trims", "SELECT split_part(k, '#', 1) AS clip_id, CAST(split_part(k, '#', 2) AS BIGINT) AS target, start_ms, end_ms, keep, reason FROM (SELECT clip_id AS k, start_ms, end_ms, keep, reason FROM ("
+       + split_edl("SELECT clip_id || '#' || target AS clip_id, start_ms, end_ms, keep, reason FROM hook_cuts",
+                   "SELECT d.clip_id || '#' || h.hook AS clip_id, d.start_ms, d.end_ms FROM drops d JOIN hooks h USING (clip_id)", "trim") + "))")
 def trims(ws):
-    one = tl.hook_edl(ws.edl(), ws.hooks()).where("target = 1").select(*EDL_COLS)
-    return iv.split_at_spans(one, ws.drops(), "trim").select(*EDL_COLS)
+    """The cut list of every (clip, hook), with the spans cut out."""
+    return tl.trim_variants(tl.hook_edl(ws.edl(), ws.hooks()), ws.drops()).select("clip_id", "target", *EDL_COLS[1:])
 
 
 @query("v21_overlay_shrink", f"""
