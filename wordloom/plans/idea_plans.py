@@ -14,7 +14,7 @@ from wordloom.plans.registry import query
 view("ideas", """
 SELECT substr(sha256(series || ':' || 's-' || arrival), 1, 16) AS idea_id, arrival AS idea_no, arrival // 50 AS batch_id, series,
   CASE arrival % 9 WHEN 4 THEN 'S_' || arrival ELSE 's-' || (arrival // 2) END AS slug,
-  CASE WHEN arrival % 23 = 7 THEN ' ' ELSE title END AS hook, substr(description, 1, 40) AS angle,
+  CASE WHEN arrival % 23 = 7 THEN ' ' ELSE title END AS hook, description AS angle,
   CASE WHEN arrival % 3 = 0 THEN 'explain' END AS intent, CASE WHEN arrival % 4 <> 0 THEN 1 END AS sent_at
 FROM articles
 """)
@@ -43,7 +43,7 @@ def ideas(ws):
         "series",
         F.when(i % 9 == 4, F.concat(F.lit("S_"), s)).otherwise(F.concat(F.lit("s-"), F.floor(i / 2).cast("string"))).alias("slug"),
         F.when(i % 23 == 7, " ").otherwise(F.col("title")).alias("hook"),
-        F.substring("description", 1, 40).alias("angle"),
+        F.col("description").alias("angle"),
         F.when(i % 3 == 0, "explain").alias("intent"),
         F.when(i % 4 != 0, 1).alias("sent_at"),
     )
@@ -156,7 +156,7 @@ def distinct_sources(ws):
 view("videos", """
 SELECT lang AS slug, doc_id AS no, CASE WHEN doc_id % 97 = 5 THEN '' ELSE 'v' || (doc_id // 2 * 2 + CASE WHEN doc_id % 31 = 3 THEN 0 ELSE doc_id % 2 END) END AS id,
   CASE WHEN doc_id % 3 = 1 THEN 'v' || (doc_id - 3) ELSE '' END AS of,
-  CASE WHEN doc_id % 5 = 0 THEN '' ELSE '*' || substr(split_part(text, chr(10), 1), 1, 20) || '*  x' END AS title,
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE '*' || text || '*  x' END AS title,
   CAST(doc_id % 7 * 1000 AS BIGINT) AS start_ms, CAST(doc_id % 11 * 700 AS BIGINT) AS end_ms, doc_id FROM documents
 """)
 
@@ -170,7 +170,7 @@ def videos(ws):
         F.when(i % 97 == 5, "").otherwise(F.concat(F.lit("v"), own.cast("string"))).alias("id"),
         F.when(i % 3 == 1, F.concat(F.lit("v"), (i - 3).cast("string"))).otherwise("").alias("of"),
         F.when(i % 5 == 0, "")
-        .otherwise(F.concat(F.lit("*"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 20), F.lit("*  x")))
+        .otherwise(F.concat(F.lit("*"), F.col("text"), F.lit("*  x")))
         .alias("title"),
         (i % 7 * 1000).alias("start_ms"),
         (i % 11 * 700).alias("end_ms"),
