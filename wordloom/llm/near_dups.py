@@ -8,7 +8,7 @@
    A band whose open classes lie in different components goes on. Of each of its classes, the shingles
    that no other open class has are counted: what is left of it must reach its share of a union with the
    smallest partner, or it can have no link in the band and leaves it. Then the classes with the
-   fewest such shingles, those most like all the others, become pivots (2, then 8, ...) and are compared
+   fewest such shingles, those most like all the others, become pivots (8, then 128, ...) and are compared
    with the band's classes in other components, until no band holds two open classes of different
    components. So every two classes of a band end up compared, connected or proven apart, and a band
    of thousands of copies costs a few comparisons for each.
@@ -49,8 +49,8 @@ LEAST_EQUAL = 80
 PERCENT = 85
 #: Both for ``keep_one_of_each`` (expected at 0.80: 102, deviation 4.5; fewer than 73 with a chance below 1e-9).
 KEEP_PERCENT, KEEP_LEAST_EQUAL = 80, 73
-#: Pivots of a band in the first round after the star; four times as many in each further one.
-PIVOTS = 2
+#: Pivots of a band in the first round after the star, and how many times as many in each further one.
+PIVOTS, GROWTH = 8, 16
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -186,34 +186,41 @@ def near_duplicates(
     shared = keep(members.join(bands, "key").where("rep <> pivot"), "bands")
     links = links_of(shared.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    still, pivots = shared.select("key", "rep"), PIVOTS
+    # one row per class with the bands in which it still takes part: what is told of a class joins once
+    still = keep(
+        shared.groupBy("rep")
+        .agg(F.collect_set("key").alias("open"))
+        .join(classes.select("rep", "size", band_keys("sig").alias("keys")), "rep"),
+        "open",
+    )
+    pivots = PIVOTS
     while True:
-        named = (
-            still.join(labels, F.col("rep") == F.col("node"), "left")
-            .select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+        named = still.join(labels, F.col("rep") == F.col("node"), "left").select(
+            "rep", "size", "keys", "open", F.coalesce("component", "rep").alias("comp")
         )
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        named = keep(named.join(mixed.select("key"), "key", "left_semi"), "mixed")
-        if named.isEmpty():
+        at = named.select(F.explode("open").alias("key"), "rep", "comp")
+        mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        mixed = keep(mixed, "mixed")
+        if mixed.isEmpty():
             break
-        ids = keep(named.select(F.col("rep").alias("_id")).distinct(), "open")
-        some = texts.join(broadcast_if_small(ids, 16), "_id", "left_semi")
+        mixed = broadcast_if_small(mixed, 16)
+        left = at.join(mixed, "key", "left_semi").groupBy("rep").agg(F.collect_set("key").alias("open"))
+        ids = keep(left.withColumnRenamed("rep", "_id"), "open")
+        some = texts.join(broadcast_if_small(ids.select("_id"), 16), "_id", "left_semi")
         # an id with several rows may have several texts: nothing is counted for it
-        often = rows.join(broadcast_if_small(ids, 16), "_id", "left_semi").groupBy("_id").count().where("count > 1")
+        often = rows.join(broadcast_if_small(ids.select("_id"), 16), "_id", "left_semi").groupBy("_id").count().where("count > 1")
         alone = _unshared(some).join(often, F.col("rep") == F.col("_id"), "left_anti")
-        alone = keep(alone, "unshared")
-        sized = (
-            named.join(classes.select("rep", "size", band_keys("sig").alias("keys")), "rep")
-            .join(alone, "rep", "left")
-            .select("key", "rep", "comp", "keys", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
-        )
+        facts = ids.withColumnRenamed("_id", "rep").join(alone, "rep", "left")
+        named = named.drop("open").join(facts, "rep")
+        named = keep(named.withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))), "counted")
+        sized = named.select(F.explode("open").alias("key"), "rep", "comp", "keys", "size", "common")
         least = sized.groupBy("key").agg(F.min("size").alias("least"))
         # 100 * intersection >= percent * (size + size - intersection), and no more than what is common
         able = (100 + percent) * F.col("common") >= percent * (F.col("size") + F.col("least"))
-        named = keep(sized.join(least, "key").where(able), "able")
+        sized = keep(sized.join(least, "key").where(able), "able")
         first = Window.partitionBy("key").orderBy((F.col("size") - F.col("common")) / F.col("size"), "rep")
         chosen = keep(
-            named.withColumn("at", F.row_number().over(first))
+            sized.withColumn("at", F.row_number().over(first))
             .where(F.col("at") <= pivots)
             .select("key", F.col("rep").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("keys").alias("pivot_keys")),
             "pivots",
@@ -221,18 +228,23 @@ def near_duplicates(
         # a pair that shares several bands is settled in one of them: if it is not open there, it is
         # compared, connected or proven apart already
         pairs = (
-            named.join(chosen, "key")
+            sized.join(chosen, "key")
             .where("comp <> pivot_comp and key = array_min(array_intersect(keys, pivot_keys))")
             .select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b"))
             .distinct()
         )
         more = links_of(pairs)
-        links = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select("a", "b"))
-        labels = components(links)
-        still = named.select("key", "rep").join(
-            chosen.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti"
+        if not more.isEmpty():
+            links = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select("a", "b"))
+            labels = components(links)
+        done = chosen.select("key", F.col("pivot").alias("rep"))
+        still = keep(
+            sized.join(done, ["key", "rep"], "left_anti")
+            .groupBy("rep", "size", "keys")
+            .agg(F.collect_set("key").alias("open")),
+            "still",
         )
-        pivots *= 4
+        pivots *= GROWTH
     of_class = keep(
         classes.select("digest", "rep")
         .join(labels, F.col("rep") == F.col("node"), "left")
