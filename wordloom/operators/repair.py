@@ -289,3 +289,98 @@ def enforce_order(words: DataFrame) -> DataFrame:
     kind = "array<struct<pos:bigint,s:bigint,e:bigint,os:bigint,oe:bigint,fell:boolean>>"
     out = packed.select("clip_id", F.inline(F.aggregate("ws", F.array().cast(kind), step)))
     return out.select("clip_id", "pos", F.col("s").alias("start_ms"), F.col("e").alias("end_ms"), F.col("fell").alias("reverted"))
+
+
+# -- spoken tokens back to words ---------------------------------------------------------------------
+
+_PLACES = 16  # tokens of a spoken number: nine at most
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _matched(tokens: pd.Series, heard: pd.Series) -> pd.Series:
+    """For each of ``heard``, taken in order, the index of the first later token equal to it; ends at the first without one."""
+    out = []
+    for expected, said in zip(tokens, heard, strict=True):
+        found: list[int] = []
+        said = [] if said is None else list(said)
+        for i, token in enumerate([] if expected is None else expected):
+            if len(found) < len(said) and said[len(found)] == token:
+                found.append(i)
+        out.append(found)
+    return pd.Series(out)
+
+
+def _in_order(rows: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
+    packed = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col("norm").alias("norm"))))
+    return rows.groupBy(*keys).agg(packed.alias(name))
+
+
+def _pairs(both: DataFrame, keys: list[str]) -> DataFrame:
+    """The matched (i, j) of packed tokens ``es`` and heard tokens ``hs``, and which heard one ended a stretch."""
+    found = both.withColumn("m", _matched(F.col("es.norm"), F.col("hs.norm")))
+    return found.select(
+        *keys,
+        F.transform("m", lambda x, k: F.struct(F.get("es", x.cast("int"))["at"].alias("i"), F.get("hs", k)["at"].alias("j"))).alias("pairs"),
+        F.get("hs", F.size("m"))["at"].alias("stopped"),
+        F.element_at("hs", -1)["at"].alias("last_heard"),
+    )
+
+
+def match_heard(expected: DataFrame, heard: DataFrame) -> DataFrame:
+    """(clip_id, i, j): ``heard`` (clip_id, j, norm) taken in order, each at the first equal token of ``expected``
+    (clip_id, i, norm) behind the one before; from a heard token that has none on, nothing is matched.
+
+    A heard token that occurs once in its clip can be matched there only, so the walk runs between such
+    tokens, each stretch by itself. The first stretch that cannot place a token ends the matches: its
+    own remaining tokens are looked for in what follows, and the next single token then has no place.
+    A clip without single tokens is one stretch.
+    """
+    single = expected.groupBy("clip_id", "norm").agg(F.min("i").alias("i"), F.count("*").alias("n")).where("n = 1").drop("n")
+    h = heard.join(single, ["clip_id", "norm"], "left").select("clip_id", "j", "norm", "i")
+    h = scan(h, CLIP, ["j"], {"before": running_max("i", False)})
+    h = scan(h.withColumn("_bad", F.when(F.col("i") <= F.col("before"), F.col("j"))), CLIP, ["j"], {"bad": total("min", "_bad")})
+    h = h.where("bad is null or j < bad").withColumn("_one", F.col("i").isNotNull().cast("long"))
+    h = settle(scan(h, CLIP, ["j"], {"part": running_sum("_one")}), 0)
+    marks = h.where("i is not null").select("clip_id", "i", F.lit(1).cast("long").alias("_one"))
+    e = expected.select("clip_id", "i", "norm").join(marks, ["clip_id", "i"], "left").fillna(0, ["_one"])
+    e = settle(scan(e, CLIP, ["i"], {"part": running_sum("_one")}), 0)
+    keys = ["clip_id", "part"]
+    walked = settle(_pairs(_in_order(h, keys, "j", "hs").join(_in_order(e, keys, "i", "es"), keys, "left"), keys), 0)
+    ended = walked.where("stopped is not null").groupBy("clip_id").agg(
+        F.min_by(F.struct("part", "stopped", "last_heard"), "part").alias("x")
+    ).select("clip_id", F.col("x.part").alias("end_part"), "x.stopped", "x.last_heard")
+    kept = walked.join(ended.select("clip_id", "end_part"), "clip_id", "left").where("end_part is null or part <= end_part")
+    # what the ended stretch still had to place, among the equal tokens of what follows
+    rest = h.join(ended, "clip_id").where("part = end_part and j between stopped and last_heard").select("clip_id", "j", "norm")
+    wanted = rest.select("clip_id", "norm").distinct()
+    behind = e.join(ended.select("clip_id", "end_part"), "clip_id").where("part > end_part").join(wanted, ["clip_id", "norm"], "left_semi")
+    later = _pairs(_in_order(rest, CLIP, "j", "hs").join(_in_order(behind, CLIP, "i", "es"), CLIP), CLIP)
+    return kept.select("clip_id", F.inline("pairs")).union(later.select("clip_id", F.inline("pairs")))
+
+
+def collapse_spoken(words: DataFrame, aligned: DataFrame, min_conf: float = 0.0) -> DataFrame:
+    """``words`` with the times of their ``aligned`` tokens (clip_id, j, token, start_ms, end_ms, conf).
+
+    A word of one token takes the times and confidence of the token matched to it, unless that is under
+    ``min_conf``; a number spans the tokens matched to it, with their mean confidence. Else a word stays.
+    """
+    tokens = words.select("clip_id", "pos", F.posexplode(spoken_tokens(F.col("word"))).alias("k", "token"))
+    tokens = tokens.select("clip_id", (F.col("pos") * _PLACES + F.col("k")).alias("i"), tx.strip_tail(F.col("token")).alias("norm"))
+    heard = aligned.select("clip_id", "j", tx.strip_tail(F.col("token")).alias("norm"))
+    times = aligned.select("clip_id", "j", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col("conf").alias("c"))
+    found = (
+        match_heard(tokens, heard)
+        .join(times, ["clip_id", "j"])
+        .groupBy("clip_id", F.floor(F.col("i") / _PLACES).alias("pos"))
+        .agg(F.min_by("s", "j").alias("s"), F.max_by("e", "j").alias("e"), F.avg("c").alias("c"))
+    )
+    out = words.join(found, ["clip_id", "pos"], "left")
+    number = F.size(spoken_tokens(F.col("word"))) > 1
+    takes = F.coalesce(F.col("s").isNotNull() & (number | (F.col("c") >= min_conf)), F.lit(False))
+    return out.select(
+        "clip_id", "pos", "word",
+        F.when(takes, F.col("s")).otherwise(F.col("start_ms")).alias("start_ms"),
+        F.when(takes, F.col("e")).otherwise(F.col("end_ms")).alias("end_ms"),
+        F.when(takes, F.col("c")).otherwise(F.col("conf")).alias("conf"),
+        takes.alias("aligned"),
+    )

@@ -112,6 +112,45 @@ def expand(ws):
     return rp.expand_spoken(number_words(ws))
 
 
+view("expanded_tokens", f"""
+SELECT clip_id, pos, k, pos * 16 + k AS i, rtrim(lower(trim(tok[k + 1])), '.,!?;:''"') AS norm, start_ms, end_ms, len(tok) AS n
+FROM (SELECT *, CASE WHEN v IS NULL THEN [spoken] ELSE string_split(spoken, ' ') END AS tok FROM ({SPOKEN})), LATERAL (SELECT unnest(range(len(tok))) AS k)
+""")
+view("heard_tokens", """
+SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY i) AS r, norm, start_ms + 40 + 5 * k AS s, start_ms + 60 + 5 * k AS e, CASE WHEN pos % 7 = 2 THEN 0.125 ELSE 0.75 END AS c
+FROM expanded_tokens WHERE (pos * 5 + k * 3) % 9 <> 4
+""")
+
+
+@query("d08_spoken_collapse", """
+WITH RECURSIVE walk AS (
+  SELECT DISTINCT clip_id, CAST(0 AS BIGINT) AS r, CAST(-1 AS BIGINT) AS i FROM heard_tokens
+  UNION ALL
+  SELECT w.clip_id, w.r + 1, min(t.i) FROM walk w JOIN heard_tokens h ON h.clip_id = w.clip_id AND h.r = w.r + 1
+  JOIN expanded_tokens t ON t.clip_id = h.clip_id AND t.norm = h.norm AND t.i > w.i GROUP BY w.clip_id, w.r
+), found AS (
+  SELECT clip_id, w.i // 16 AS pos, min_by(s, r) AS s, max_by(e, r) AS e, avg(c) AS c FROM walk w JOIN heard_tokens h USING (clip_id, r) GROUP BY ALL
+), taken AS (
+  SELECT n.*, f.s, f.e, f.c, f.s IS NOT NULL AND (x.n > 1 OR f.c >= 0.25) AS aligned FROM number_words n
+  JOIN (SELECT clip_id, pos, n FROM expanded_tokens WHERE k = 0) x USING (clip_id, pos) LEFT JOIN found f USING (clip_id, pos)
+)
+SELECT clip_id, pos, word, CASE WHEN aligned THEN s ELSE start_ms END AS start_ms, CASE WHEN aligned THEN e ELSE end_ms END AS end_ms,
+  CASE WHEN aligned THEN CAST(c AS DOUBLE) ELSE 0.5 END AS conf, aligned FROM taken
+""")
+def collapse(ws):
+    words = number_words(ws)
+    tokens = rp.expand_spoken(words)
+    heard = tokens.where((F.col("pos") * 5 + F.col("k") * 3) % 9 != 4).join(
+        words.select("clip_id", "pos", F.col("start_ms").alias("from_ms")), ["clip_id", "pos"]
+    )
+    start = F.col("from_ms") + 5 * F.col("k")
+    heard = heard.select(
+        "clip_id", (F.col("pos") * 16 + F.col("k")).alias("j"), "token", (start + 40).alias("start_ms"), (start + 60).alias("end_ms"),
+        F.when(F.col("pos") % 7 == 2, 0.125).otherwise(0.75).alias("conf"),
+    )
+    return rp.collapse_spoken(words.withColumn("conf", F.lit(0.5)), heard, 0.25)
+
+
 @query("d09_monotonic_repair")
 def monotonic(ws):
     w = ws.words()
