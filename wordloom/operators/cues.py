@@ -164,6 +164,24 @@ def plan_sounds(events: DataFrame, placed: DataFrame, rules: DataFrame, totals:
     return n.select("clip_id", "at_ms", "kind", "idx", F.get("sounds", slot.cast("int")).alias("sound"))
 
 
+def align_peaks(played: DataFrame, library: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``played(clip_id, at_ms, sound, gain_db)`` with the loudest sample of each sound on its moment, and the played
+    sounds that ``library(sound, peak_ms, peak_db, length_ms)`` lacks.
+
+    A peak that lies further in than the moment starts the sound at 0, that much into its file; a sound
+    ends with the clip (``totals(clip_id, total_ms)``) at the latest.
+    """
+    start = F.col("at_ms") - F.col("peak_ms")
+    t = played.join(library, "sound").join(totals.select("clip_id", "total_ms"), "clip_id")
+    t = t.withColumn("source_start_ms", F.greatest(F.lit(0), -start)).withColumn("begin_ms", F.greatest(F.lit(0), start))
+    placed = t.select(
+        "clip_id", "at_ms", "sound", F.col("source_start_ms").cast("bigint").alias("source_start_ms"),
+        F.col("begin_ms").cast("bigint").alias("start_ms"),
+        F.least("total_ms", F.col("begin_ms") + F.col("length_ms") - F.col("source_start_ms")).alias("end_ms"), "gain_db", "peak_db",
+    )
+    return placed, played.join(library, "sound", "left_anti").select("clip_id", "sound").distinct()
+
+
 def resolve_tracks(clips: DataFrame, specs: DataFrame, library: DataFrame, default: str) -> tuple[DataFrame, DataFrame]:
     """Tracks per clip (the default one for clips without a spec, open ends closed at the clip's
     length) and the specs that name unknown tracks."""

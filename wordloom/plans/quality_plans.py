@@ -240,6 +240,32 @@ def sound_plan(ws):
     return cu.plan_sounds(ev, placed, rules, ws.clips(), 800)
 
 
+view("sound_library", "SELECT * FROM (VALUES ('whoosh', 2600, -3.5, 4000), ('click', 15, -9.0, 120)) t(sound, peak_ms, peak_db, length_ms)")
+view("played_sounds", "SELECT clip_id, pos, at_ms, CASE WHEN pos % 5 = 0 THEN 'gone' || pos % 3 ELSE sound END AS sound, CAST(pos % 4 AS DOUBLE) AS gain_db FROM placed_sounds")
+
+
+def aligned_sounds(ws):
+    p = F.col("pos")
+    played = placed_sounds(ws).withColumn("sound", F.when(p % 5 == 0, F.concat(F.lit("gone"), (p % 3).cast("string"))).otherwise(F.col("sound")))
+    library = ws.spark.createDataFrame([("whoosh", 2600, -3.5, 4000), ("click", 15, -9.0, 120)], "sound string, peak_ms bigint, peak_db double, length_ms bigint")
+    return cu.align_peaks(played.withColumn("gain_db", (p % 4).cast("double")), library, ws.clips())
+
+
+@query("d21_peak_aligned", """
+SELECT clip_id, at_ms, sound, CAST(CASE WHEN at_ms < peak_ms THEN peak_ms - at_ms ELSE 0 END AS BIGINT) AS source_start_ms,
+  CAST(CASE WHEN at_ms > peak_ms THEN at_ms - peak_ms ELSE 0 END AS BIGINT) AS start_ms,
+  CAST(CASE WHEN at_ms - peak_ms + length_ms < total_ms THEN at_ms - peak_ms + length_ms ELSE total_ms END AS BIGINT) AS end_ms,
+  gain_db, CAST(peak_db AS DOUBLE) AS peak_db FROM played_sounds JOIN sound_library USING (sound) JOIN clips USING (clip_id)
+""")
+def peak_aligned(ws):
+    return aligned_sounds(ws)[0]
+
+
+@query("d21_unknown_sounds", "SELECT DISTINCT clip_id, sound FROM played_sounds WHERE sound NOT IN (SELECT sound FROM sound_library)")
+def unknown_sounds(ws):
+    return aligned_sounds(ws)[1]
+
+
 @query("d20_entity_cues")
 def entity(ws):
     common = ws.words().groupBy(cu.entity_slug(F.col("word")).alias("slug")).agg(F.count("*").alias("n")).where("n >= 60 and slug <> ''")
