@@ -173,16 +173,29 @@ def test_contained_items_match_brute_force(spark):
     long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(20_000))
     planted = items[0][1].split()
     docs += [(5000, long + " " + items[1][1].upper() + " " + long), (5001, " ".join(planted[:-2])), (5002, " ".join(planted[: len(planted) // 2]))]
+    # items of one to four words, alone, inside, out of order and in a shorter document
+    items += [(9000, "Quartz"), (9001, "quartz vein  hunt"), (9002, "one\ttwo three four"), (9003, " "), (9004, None)]
+    docs += [(5003, long + " quartz vein hunt"), (5004, "quartz"), (5005, "vein quartz hunt"), (5006, "one two three four"), (5007, "two three four")]
+    docs += [(5008, "zero one two three four five"), (5009, ""), (5010, None)]
+
+    def runs(text, n):
+        w = (text or "").lower().split()
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
     want = {}
-    for d, t in docs:
-        s = shingles(t.lower())
-        for i, x in items:
-            q = shingles(x.lower())
-            if len(s & q) >= 0.8 * len(q):
+    per_length = {n: {d: runs(t, n) for d, t in docs} for n in range(1, 6)}
+    for i, x in items:
+        n = min(5, len((x or "").split()))
+        q = runs(x, n) if n else set()
+        for d, _ in docs:
+            s = per_length[n][d] if n else set()
+            if q and len(s & q) >= 0.8 * len(q):
                 want[d, i] = (len(s & q), len(q))
     frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): (r.n_common, r.n_item) for r in contained_items(*frames).collect()}
     assert got == want and (5000, items[1][0]) in want
+    short = {(d, i) for d, i in want if i >= 9000}
+    assert short == {(d, 9000) for d in (5003, 5004, 5005)} | {(5003, 9001), (5006, 9002), (5008, 9002)}
     left = {r.doc_id for r in drop_contaminated(*frames).collect()}
     assert left == {d for d, _ in docs} - {d for d, _ in want}
 

@@ -10,13 +10,14 @@ ceil(threshold * lower) / lower, and k is the least number that brings the miss
 with at most k shingles probe with all of them. Probes fetch candidate pairs by an equi-join on the
 shingle hash. Candidates are then verified exactly: their distinct shingle hashes in common are counted.
 
-Words are lower-cased, split at blanks and U+0009 to U+000D. A text with fewer than five words is one
-shingle of all of them (it fits only documents that are equal in words); a text without words has
-none and fits nothing.
+Words are lower-cased, split at blanks and U+0009 to U+000D. An item with fewer than five words is one
+shingle of all of them, which a document holds where the same words stand in a row; documents are cut
+into shingles of every length that occurs among the items (at most five lengths). A text without words
+has none and fits nothing.
 
 Shuffles: none of texts while probes and candidate ids are small enough to broadcast (measured);
 beyond that, equi-joins on hash or id that Spark can split. Defined results: rows with a null id are
-searched like others and report null; repeated rows of one id report once; empty tables give no rows.
+searched like others and report null; rows that share an id are taken as one document and report once; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -34,19 +35,21 @@ THRESHOLD = 0.8
 MISS = 1e-6
 
 
-def shingle_hashes(text: Column) -> Column:
-    """Hashes of all five-word shingles of a text, in order, with repeats."""
-    w = F.transform(words(F.lower(text)), lambda x: F.xxhash64(x))
+def _word_hashes(text: Column) -> Column:
+    return F.transform(words(F.lower(text)), lambda x: F.xxhash64(x))
 
-    def of(h: Column) -> Column:
-        n = F.size(h)
-        each = F.transform(
-            F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)])
-        )
-        short = F.array(F.xxhash64(F.lit("short"), h))
-        return F.when(n >= SHINGLE, each).when(n > 0, short).otherwise(F.array().cast("array<bigint>"))
 
-    return F.element_at(F.transform(F.array(w), of), 1)
+def _shingles(hashes: Column, length: int) -> Column:
+    """Hashes of all runs of ``length`` words, in order, with repeats."""
+    each = F.transform(
+        F.sequence(F.lit(0), F.size(hashes) - length), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(length)])
+    )
+    return F.when(F.size(hashes) >= length, each).otherwise(F.array().cast("array<bigint>"))
+
+
+def shingle_hashes(text: Column, lengths: list[int]) -> Column:
+    """Hashes of all shingles of a document, of each of ``lengths``."""
+    return F.element_at(F.transform(F.array(_word_hashes(text)), lambda h: F.concat(*[_shingles(h, n) for n in lengths])), 1)
 
 
 def probes_of(size: Column, threshold: float = THRESHOLD) -> Column:
@@ -66,12 +69,14 @@ def probes_of(size: Column, threshold: float = THRESHOLD) -> Column:
 
 
 def item_shingles(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """_item, _size, _set: distinct shingle hashes of each item."""
-    return (
-        items.select(F.col(item_id).alias("_item"), F.array_distinct(shingle_hashes(F.col(text))).alias("_set"))
-        .where(F.size("_set") > 0)
-        .select("_item", F.size("_set").alias("_size"), "_set")
-    )
+    """_item, _length, _size, _set: distinct shingle hashes of each item, and the words of a shingle."""
+    hashed = items.select(F.col(item_id).alias("_item"), _word_hashes(F.col(text)).alias("_words")).where(F.size("_words") > 0)
+    each = _shingles(F.col("_words"), SHINGLE)
+    for n in range(1, SHINGLE):
+        each = F.when(F.size("_words") == n, _shingles(F.col("_words"), n)).otherwise(each)
+    return hashed.select(
+        "_item", F.least(F.size("_words"), F.lit(SHINGLE)).alias("_length"), F.array_distinct(each).alias("_set")
+    ).select("_item", "_length", F.size("_set").alias("_size"), "_set")
 
 
 def item_probes(sets: DataFrame, threshold: float) -> DataFrame:
@@ -94,18 +99,19 @@ def contained_items(
 ) -> DataFrame:
     """doc_id, item_id, n_common, n_item, containment: every pair at or above the threshold."""
     sets = keep(item_shingles(items, item_id, text), "item-sets")
+    lengths = sorted(r["_length"] for r in sets.select("_length").distinct().collect()) or [SHINGLE]  # at most five rows
     probes = broadcast_if_small(keep(item_probes(sets, threshold), "probes"), 24)
     found = (
-        docs.select(F.col(doc_id).alias("_doc"), F.explode(shingle_hashes(F.col(text))).alias("_hash"))
+        docs.select(F.col(doc_id).alias("_doc"), F.explode(shingle_hashes(F.col(text), lengths)).alias("_hash"))
         .join(probes, "_hash")
         .select("_doc", "_item")
         .distinct()
     )
     found = keep(found, "candidates")
-    ids = broadcast_if_small(found.select("_doc").distinct(), 16)
+    ids = broadcast_if_small(keep(found.select("_doc").distinct(), "candidate-docs"), 16)
     texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
     near = texts.join(ids, texts["_doc"].eqNullSafe(ids["_doc"]), "left_semi")
-    shingles = near.select("_doc", F.explode(F.array_distinct(shingle_hashes(F.col("_text")))).alias("_hash"))
+    shingles = near.select("_doc", F.explode(F.array_distinct(shingle_hashes(F.col("_text"), lengths))).alias("_hash"))
     wanted = broadcast_if_small(sets.select("_item", "_size", F.explode("_set").alias("_hash")), 32)
     # a document's shingles meet the items that hold them; verification is against every item it
     # was a candidate for, and no other

@@ -152,9 +152,8 @@ QUERIES = {
 }
 
 _SPACE = r"[\t\n\x0B\f\r ]"
-_SHINGLES = """(SELECT DISTINCT {id}, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
-    WHEN len(w) > 0 THEN ['short ' || array_to_string(w, ' ')] ELSE [] END) AS s
-  FROM (SELECT {id}, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}))"""
+_WORDS = "(SELECT {id}, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM {table})"
+_GRAMS = "SELECT DISTINCT {id}, unnest([array_to_string(w[i:i + g - 1], ' ') FOR i IN range(1, len(w) - g + 2)]) AS s FROM {rows}"
 
 
 def _host_rule_sql() -> str:
@@ -184,7 +183,10 @@ SELECT k.doc_id, k.source, count(*) AS n_lines, count(*) FILTER (b.key IS NOT NU
 FROM k LEFT JOIN bad b ON k.source IS NOT DISTINCT FROM b.source AND k.key = b.key GROUP BY ALL
 """,
     "op5_contained_items": f"""
-WITH d AS MATERIALIZED {_SHINGLES.format(id="doc_id", table="documents")}, q AS MATERIALIZED {_SHINGLES.format(id="item_id", table="benchmark")}
+WITH iw AS (SELECT *, least(len(w), 5) AS g FROM {_WORDS.format(id="item_id", table="benchmark")} WHERE len(w) > 0),
+q AS MATERIALIZED ({_GRAMS.format(id="item_id", rows="iw")}),
+dw AS (SELECT * FROM {_WORDS.format(id="doc_id", table="documents")}, (SELECT DISTINCT g FROM iw) WHERE len(w) >= g),
+d AS MATERIALIZED ({_GRAMS.format(id="doc_id", rows="dw")})
 SELECT doc_id, item_id, count(*) AS n_common, n AS n_item, count(*) / n AS containment
 FROM d JOIN q USING (s) JOIN (SELECT item_id, count(*) AS n FROM q GROUP BY ALL) USING (item_id)
 GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
