@@ -56,9 +56,20 @@ def test_aborted_restarts(both):
     assert old and _rows(rt.aborted_strip_restarts(strips, SHIPPED)) == old
 
 
+def test_literal_repeats(both):
+    strips, words = both
+    cols = ["clip_id", "i", "j", "cut_len", "match_len", "ci", "cj", "cut_start_ms", "cut_end_ms", "kept", "skip_reason"]
+    facts = rt.take_facts(words, SHIPPED)
+    old = _rows(rt.judged_pairs(facts, SHIPPED).select(*cols))
+    assert len({r[-1] for r in old}) > 2 and _rows(rt.strip_pairs(strips, SHIPPED).select(*cols)) == old
+    seeds = _rows(rt.seed_pairs(facts, 3).select("clip_id", "i", "j"))
+    assert _rows(rt.strip_pairs(strips, SHIPPED, judged=False)) == seeds
+
+
 def test_no_word_of_a_document_is_shuffled(spark):
     def exchanges(name):
         return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange hash")
 
     assert exchanges("f14_swap_variants") == exchanges("d13_aborted_restarts") == 0
+    assert exchanges("j13_ngram_seed_pairs") == exchanges("d11_literal_repeats") == 0
     assert exchanges("a03_sentence_content_words") == 1
