@@ -66,6 +66,12 @@ def test_literal_repeats(both):
     assert _rows(rt.strip_pairs(strips, SHIPPED, judged=False)) == seeds
 
 
+def test_take_facts(both):
+    strips, words = both
+    light = rt.strip_take_facts(strips, SHIPPED)
+    assert _rows(light) == _rows(rt.take_facts(words, SHIPPED).select(*light.columns))
+
+
 def test_no_word_of_a_document_is_shuffled(spark):
     def exchanges(name):
         return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange hash")
