@@ -7,17 +7,17 @@
 3. Candidates of a band are compared with its least class first: a star, not all pairs. Components follow.
    A band whose open classes lie in different components goes on. Of each of its classes, the shingles
    that no other open class has are counted: what is left of it must reach its share of a union with the
-   smallest partner, or it can have no link in the band and leaves it. Then the classes with the
-   fewest such shingles, those most like all the others, become pivots (8, then 128, ...) and are compared
-   with the band's classes in other components, until no band holds two open classes of different
-   components. So every two classes of a band end up compared, connected or proven apart, and a band
-   of thousands of copies costs a few comparisons for each.
-4. A comparison first estimates the similarity from both signatures, with a margin that a true link
+   smallest partner, or it can have no link in the band and leaves it. The bands that are left tie their
+   classes to groups. A group is dealt into blocks of bounded size, and every two blocks (but for those of its
+   largest component) are compared as a whole, by the full sets, in one task. It returns links that unite its classes no further than all its
+   links would, so fewer than it has classes. So every two classes of a band end up compared, connected or
+   proven apart, and no row is made for a pair.
+4. A comparison with a star's centre first estimates the similarity from both signatures, with a margin that a true link
    misses with a chance below 1e-9, then counts the intersection and union of the full sets.
 5. Links make components by alternating large-star and small-star.
 
 Texts move only for classes that were compared: the ids are broadcast while small (measured), else
-joined. Bands, digests and pivots that are hot meet in joins that Spark splits, never in one task.
+joined. Bands and digests that are hot meet in joins that Spark splits, never in one task.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; so is a row
 with a null doc_id, whose component is null and which is not kept. Rows of one doc_id with different
@@ -49,8 +49,10 @@ LEAST_EQUAL = 80
 PERCENT = 85
 #: Both for ``keep_one_of_each`` (expected at 0.80: 102, deviation 4.5; fewer than 73 with a chance below 1e-9).
 KEEP_PERCENT, KEEP_LEAST_EQUAL = 80, 73
-#: Pivots of a band in the first round after the star, and how many times as many in each further one.
-PIVOTS, GROWTH = 8, 16
+#: Classes of a block, and the bytes of text from which a group gets more blocks than by that count.
+BLOCK, BLOCK_BYTES = 128, 4 << 20
+#: Shingles of two blocks that are counted together.
+_COLUMNS = 4096
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,6 +159,91 @@ def _unshared(texts: DataFrame) -> DataFrame:
     return once.groupBy("rep").agg(F.count("*").alias("alone"))
 
 
+def _blocks(able: DataFrame, texts: DataFrame) -> DataFrame:
+    """group, first, second (two blocks, or one twice) and their classes: block, rep, comp, _text.
+
+    ``able(key, rep, comp)`` are the classes of the open bands. Those tied by bands are a group, unless all of it is
+    one component; its classes are dealt into blocks by their ids. The group's largest component has blocks of
+    its own, which meet only the others: its classes are united already.
+    """
+    band = able.groupBy("key").agg(F.min("rep").alias("head"))
+    tied = components(able.join(band, "key").where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v")))
+    group = F.coalesce("component", "rep").alias("group")
+    of = able.select("rep", "comp").distinct().join(tied, F.col("rep") == F.col("node"), "left").select("rep", "comp", group)
+    mixed = of.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("group")
+    members = keep(of.join(mixed, "group", "left_semi").join(texts, F.col("rep") == F.col("_id")).drop("_id"), "members")
+    sums = members.groupBy("group", "comp").agg(F.count("*").alias("n"), F.sum(F.length("_text")).alias("bytes"))
+    largest = sums.groupBy("group").agg(F.max(F.struct("n", "comp")).alias("m")).select("group", F.col("m.comp").alias("main"))
+    sums = sums.join(largest, "group").groupBy("group", "main")
+
+    def blocks(main: bool) -> Column:
+        some = (F.col("comp") == F.col("main")) == F.lit(main)
+        n, size = F.sum(F.when(some, F.col("n"))), F.sum(F.when(some, F.col("bytes")))
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+    dealt = members.join(keep(sums.agg(blocks(False).alias("rest"), blocks(True).alias("of_main")), "groups"), "group")
+    main, place = F.col("comp") == F.col("main"), F.xxhash64("rep")
+    block = F.when(main, F.col("rest") + F.pmod(place, "of_main")).otherwise(F.pmod(place, "rest")).cast("int")
+    last = F.col("rest") - 1 + F.when(main, 0).otherwise(F.col("of_main"))
+    other = F.explode(F.sequence(F.lit(0), last)).alias("other")
+    return dealt.select("group", block.alias("block"), other, "rep", "comp", "_text").select(
+        "group", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "rep", "comp", "_text"
+    )
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of shingles that each two of the sets share."""
+    hashes, counts = np.unique(np.concatenate(sets), return_counts=True)
+    hashes = hashes[counts > 1]
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    each = np.concatenate(sets)
+    column = np.searchsorted(hashes, each)
+    shared = column < len(hashes)
+    shared[shared] = hashes[column[shared]] == each[shared]
+    of, column = of[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    both = np.zeros((len(sets), len(sets)))
+    for lo in range(0, len(hashes), _COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + _COLUMNS])
+        has = np.zeros((len(sets), min(_COLUMNS, len(hashes) - lo)), np.float32)
+        has[of[a:b], column[a:b] - lo] = 1
+        both += has @ has.T
+    return both.astype(np.int64)
+
+
+def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of two blocks that unite what all their links unite. Classes of one
+    component count as united."""
+
+    def run(table: pa.Table) -> pa.Table:
+        reps, comps, block = (table.column(c).to_numpy() for c in ("rep", "comp", "block"))
+        sets = [shingle_set(t or b"") for t in table.column("_text").to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        both = _intersections(sets)
+        linked = (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes - both))
+        linked &= comps[:, None] != comps
+        if (block != block[0]).any():  # each block with itself is a task of its own
+            linked &= block[:, None] != block
+        root = {c: c for c in comps.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        a, b = [], []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked)))):
+            x, y = top(int(comps[i])), top(int(comps[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                a.append(max(reps[i], reps[j]))
+                b.append(min(reps[i], reps[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return blocks.groupBy("group", "first", "second").applyInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT, least_equal: int = LEAST_EQUAL
 ) -> DataFrame:
@@ -169,13 +256,9 @@ def near_duplicates(
         "classes",
     )
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text).cast("binary").alias("_text"))
-    tested = None
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        nonlocal tested
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
         near = keep(_similar_signatures(pairs, classes, least_equal), "similar")
         ids = keep(near.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "compared")
         some = keep(texts.join(broadcast_if_small(ids, 16), "_id", "left_semi"), "compared-texts")
@@ -186,23 +269,20 @@ def near_duplicates(
     shared = keep(members.join(bands, "key").where("rep <> pivot"), "bands")
     links = links_of(shared.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # one row per class with the bands in which it still takes part: what is told of a class joins once
+    # one row per class with the bands in which it takes part: what is told of a class joins once
     still = keep(
         shared.groupBy("rep")
         .agg(F.collect_set("key").alias("open"))
         .join(classes.select("rep", "size", band_keys("sig").alias("keys")), "rep"),
         "open",
     )
-    pivots = PIVOTS
-    while True:
-        named = still.join(labels, F.col("rep") == F.col("node"), "left").select(
-            "rep", "size", "keys", "open", F.coalesce("component", "rep").alias("comp")
-        )
-        at = named.select(F.explode("open").alias("key"), "rep", "comp")
-        mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        mixed = keep(mixed, "mixed")
-        if mixed.isEmpty():
-            break
+    named = still.join(labels, F.col("rep") == F.col("node"), "left").select(
+        "rep", "size", "keys", "open", F.coalesce("component", "rep").alias("comp")
+    )
+    at = named.select(F.explode("open").alias("key"), "rep", "comp")
+    mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    mixed = keep(mixed, "mixed")
+    if not mixed.isEmpty():
         mixed = broadcast_if_small(mixed, 16)
         left = at.join(mixed, "key", "left_semi").groupBy("rep").agg(F.collect_set("key").alias("open"))
         ids = keep(left.withColumnRenamed("rep", "_id"), "open")
@@ -213,38 +293,14 @@ def near_duplicates(
         facts = ids.withColumnRenamed("_id", "rep").join(alone, "rep", "left")
         named = named.drop("open").join(facts, "rep")
         named = keep(named.withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))), "counted")
-        sized = named.select(F.explode("open").alias("key"), "rep", "comp", "keys", "size", "common")
+        sized = named.select(F.explode("open").alias("key"), "rep", "comp", "size", "common")
         least = sized.groupBy("key").agg(F.min("size").alias("least"))
         # 100 * intersection >= percent * (size + size - intersection), and no more than what is common
         able = (100 + percent) * F.col("common") >= percent * (F.col("size") + F.col("least"))
-        sized = keep(sized.join(least, "key").where(able), "able")
-        first = Window.partitionBy("key").orderBy((F.col("size") - F.col("common")) / F.col("size"), "rep")
-        chosen = keep(
-            sized.withColumn("at", F.row_number().over(first))
-            .where(F.col("at") <= pivots)
-            .select("key", F.col("rep").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("keys").alias("pivot_keys")),
-            "pivots",
-        )
-        # a pair that shares several bands is settled in one of them: if it is not open there, it is
-        # compared, connected or proven apart already
-        pairs = (
-            sized.join(chosen, "key")
-            .where("comp <> pivot_comp and key = array_min(array_intersect(keys, pivot_keys))")
-            .select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b"))
-            .distinct()
-        )
-        more = links_of(pairs)
-        if not more.isEmpty():
-            links = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select("a", "b"))
-            labels = components(links)
-        done = chosen.select("key", F.col("pivot").alias("rep"))
-        still = keep(
-            sized.join(done, ["key", "rep"], "left_anti")
-            .groupBy("rep", "size", "keys")
-            .agg(F.collect_set("key").alias("open")),
-            "still",
-        )
-        pivots *= GROWTH
+        sized = keep(sized.join(least, "key").where(able).select("key", "rep", "comp"), "able")
+        more = keep(_block_links(_blocks(sized, some), percent), "block-links")
+        links = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select("a", "b"))
+        labels = components(links)
     of_class = keep(
         classes.select("digest", "rep")
         .join(labels, F.col("rep") == F.col("node"), "left")
