@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.scan import running_sum, scan, total
@@ -185,19 +185,38 @@ def readiness_violations(clips: DataFrame, documents: DataFrame, videos: DataFra
 
 
 def nearest_entry(asks: DataFrame, entries: DataFrame, window_s: int) -> DataFrame:
-    """Closest calendar entry within the window of each ask; both carry epoch seconds ``at``."""
-    e = entries.select(
-        F.col("entry"), F.col("at").alias("e_at"), F.floor(F.col("at") / window_s).alias("b")
+    """Closest calendar entry within the window of each ask; both carry epoch seconds ``at``.
+
+    Asks and entries are reduced to one row per second first. A bucket of one window's length holds its own
+    seconds, the last entry of the bucket before and the first one of the next, so the entries on both sides
+    of an ask are found in order, without pairs.
+    """
+    bucket = F.floor(F.col("at") / window_s)
+    found = F.struct("at", "entry")
+    e = entries.where("at is not null").groupBy("at").agg(F.min("entry").alias("entry")).select(
+        bucket.alias("b"), "at", found.alias("e"), F.lit(False).alias("asked")
     )
-    a = asks.withColumn(
-        "b", F.explode(F.sequence(F.floor(F.col("at") / window_s) - 1, F.floor(F.col("at") / window_s) + 1))
+    edges = e.groupBy("b").agg(F.min("e").alias("first"), F.max("e").alias("last"))
+    beyond = edges.select(
+        F.explode(F.array(F.struct((F.col("b") - 1).alias("b"), F.col("first").alias("e")),
+                          F.struct((F.col("b") + 1).alias("b"), F.col("last").alias("e")))).alias("x")
+    ).select("x.b", "x.e.at", "x.e", F.lit(False).alias("asked"))
+    a = asks.where("at is not null").select("at").distinct().select(
+        bucket.alias("b"), "at", F.lit(None).cast(e.schema["e"].dataType).alias("e"), F.lit(True).alias("asked")
     )
-    near = a.join(e, "b").where(F.abs(F.col("e_at") - F.col("at")) <= window_s)
-    best = near.groupBy("ask").agg(
-        F.min_by("entry", F.struct(F.abs(F.col("e_at") - F.col("at")), "entry")).alias("entry"),
-        F.min(F.abs(F.col("e_at") - F.col("at"))).alias("distance_s"),
+    part = Window.partitionBy("b")
+    up = part.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = part.orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = F.array(F.last("e", ignorenulls=True).over(up), F.last("e", ignorenulls=True).over(down))
+    near = F.array_min(
+        F.filter(
+            F.transform(sides, lambda x: F.struct(F.abs(x["at"] - F.col("at")).alias("d"), x["entry"].alias("entry"))),
+            lambda x: x["d"] <= window_s,
+        )
     )
-    return asks.join(best, "ask", "left").select("ask", "entry", "distance_s")
+    nearest = a.unionByName(e).unionByName(beyond).withColumn("near", near).where("asked and near is not null").select("at", "near")
+    best = asks.join(nearest, "at").groupBy("ask").agg(F.min("near").alias("near"))
+    return asks.join(best, "ask", "left").select("ask", "near.entry", F.col("near.d").alias("distance_s"))
 
 
 def longest_prefix(stems: DataFrame, known: DataFrame) -> DataFrame:
