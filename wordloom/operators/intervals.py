@@ -337,49 +337,62 @@ def to_output_time(points: DataFrame, edl: DataFrame, at: str, out: str) -> Data
 
     Cuts that end by ``t`` are subtracted; a ``t`` inside a cut moves to the cut's start first.
     Both become a lookup of the latest cut starting at or before ``t``, with the removed total
-    carried on the cut rows, so the cost is one ordered pass over points and cuts together.
+    up to it, so the cost is one ordered pass over points and cuts together.
     """
     edl = settle(edl)
-    base = timeline_base(edl)
-    cuts = edl.where("not keep").join(base, "clip_id")
-    cuts = cuts.withColumn(
-        "gone",
-        F.when(
-            F.col("start_ms") >= F.coalesce("first_keep", F.lit(0)),
-            F.col("end_ms") - F.col("start_ms"),
-        ).otherwise(0),
+    asks = points.select(
+        "clip_id",
+        F.col(at).alias("_t"),
+        F.lit(1).alias("_kind"),
+        F.lit(None).cast(_CUT).alias("_cut"),
+        F.struct(*points.columns).alias("_p"),
     )
-    cuts = scan(cuts, CLIP, ["start_ms"], {"gone_upto": running_sum("gone")}, _time_block(cuts))
-    marks = cuts.select(
+    marks = edl.where("not keep").select(
         "clip_id",
         F.col("start_ms").alias("_t"),
         F.lit(0).alias("_kind"),
-        F.struct(
-            F.col("start_ms").alias("s"),
-            F.col("end_ms").alias("e"),
-            F.col("gone").alias("gone"),
-            F.col("gone_upto").alias("upto"),
-        ).alias("_cut"),
-        F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("_p"),
+        F.struct(F.col("start_ms").alias("s"), F.col("end_ms").alias("e")).alias("_cut"),
+        F.lit(None).cast(asks.schema["_p"].dataType).alias("_p"),
     )
-    asks = points.select(
+    return on_output(marks.unionByName(asks), clip_facts(edl)).select("_p.*", F.col("_out").alias(out))
+
+
+_CUT = "struct<s:bigint,e:bigint>"
+
+
+def clip_facts(edl: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Per clip: ``first`` (first kept time) and ``lead`` (length of the cuts before it); with the columns of
+    ``more``, one row per clip. Written once, since it is small and deep."""
+    firsts = edl.groupBy("clip_id").agg(F.coalesce(F.min(F.when(F.col("keep"), F.col("start_ms"))), F.lit(0)).alias("first"))
+    early = edl.where("not keep").join(firsts, "clip_id").where("start_ms < first")
+    leads = early.groupBy("clip_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("lead"))
+    facts = firsts.join(leads, "clip_id", "left").fillna(0, ["lead"])
+    return settle(facts if more is None else facts.join(more, "clip_id", "full"), 0)
+
+
+def on_output(rows: DataFrame, facts: DataFrame, more: dict | None = None) -> DataFrame:
+    """``rows(clip_id, _t, _kind, _cut, _p)`` that hold a ``_p``, with ``_out``, the output time of ``_t``, and
+    ``_f``, the clip's row of ``facts``. Cuts carry ``_cut``; ``more``: further ops of the same pass.
+
+    What is known per clip rides along as one more row of the clip, so no row is joined by clip.
+    """
+    about = facts.select(
         "clip_id",
-        F.col(at).alias("_t"),
-        F.lit(1).alias("_kind"),
-        F.lit(None).cast("struct<s:bigint,e:bigint,gone:bigint,upto:bigint>").alias("_cut"),
-        F.struct(*points.columns).alias("_p"),
+        F.lit(0).cast("long").alias("_t"),
+        F.lit(-1).alias("_kind"),
+        F.struct(*[c for c in facts.columns if c != "clip_id"]).alias("_f"),
     )
-    both = marks.unionByName(asks)
-    both = scan(
-        both, CLIP, ["_t", "_kind"], {"cut": last("_cut")}, _time_block(both, "_t")
-    ).where("_kind = 1")
+    cut = F.col("_cut")
+    both = rows.unionByName(about, allowMissingColumns=True)
+    ops = {
+        "cut": last(F.when(cut.isNotNull(), cut)),
+        "upto": running_sum(cut["e"] - cut["s"]),
+        "_f": total("max", "_f"),
+    }
+    both = scan(both, CLIP, ["_t", "_kind"], ops | (more or {}), _time_block(both, "_t")).where("_p is not null")
+    first = F.coalesce("_f.first", F.lit(0))
     inside = F.col("cut.s").isNotNull() & (F.col("_t") < F.col("cut.e"))
     t = F.when(inside, F.col("cut.s")).otherwise(F.col("_t"))
-    gone = F.when(inside, F.col("cut.upto") - F.col("cut.gone")).otherwise(
-        F.coalesce("cut.upto", F.lit(0))
-    )
-    r = both.join(base, "clip_id", "left")
-    value = F.greatest(
-        F.lit(0).cast("long"), t - F.coalesce("first_keep", F.lit(0)) - gone
-    )
-    return r.select("_p.*", value.alias(out))
+    gone = F.col("upto") - F.when(inside, F.col("cut.e") - F.col("cut.s")).otherwise(0) - F.coalesce("_f.lead", F.lit(0))
+    value = F.greatest(F.lit(0).cast("long"), t - first - F.when(t >= first, gone).otherwise(0))
+    return both.withColumn("_out", value)

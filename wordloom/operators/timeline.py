@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.scan import lag, last, lead, running_max, running_sum, scan, total
+from wordloom.functions.settle import settle
 from wordloom.operators.intervals import (
     BUCKET_MS,
     CLIP,
     _span_buckets,
     _time_block,
+    clip_facts,
     coalesce_spans,
     cut_spans,
+    on_output,
     overlapping,
     points_in_spans,
     timeline_base,
@@ -298,20 +301,40 @@ def snap_windows(hooks: DataFrame, words: DataFrame, edl: DataFrame, max_lead_ms
     )
 
 
+def hook_facts(hooks: DataFrame) -> DataFrame:
+    """Per clip: the hooks' ``starts``, where the body begins (``body_ms``) and their numbers (``targets``)."""
+    return hooks.groupBy("clip_id").agg(
+        F.sort_array(F.collect_set("start_ms")).alias("starts"),
+        F.max_by("end_ms", "hook").alias("body_ms"),
+        F.sort_array(F.collect_list("hook")).alias("targets"),
+    )
+
+
+def section_at(at: Column, starts: Column, body_ms: Column) -> Column:
+    """The hook that an output time lies in, by its place among the ``starts``; -1 is the body."""
+    inner = F.greatest(F.size(F.filter(starts, lambda s: s <= at)) - 1, F.lit(0))
+    return F.when(at >= body_ms, -1).otherwise(inner).cast("long")
+
+
 def hook_pieces(edl: DataFrame, hooks: DataFrame) -> DataFrame:
-    """Entries with keeps split at hook edges and their section (-1 is the body, null a cut).
+    """Entries with keeps split at hook edges and their section (-1 is the body, null a cut), and the clip's ``targets``.
 
     A clip has a handful of hooks, so their edges ride along as one short array per clip.
     """
-    edges = hooks.groupBy("clip_id").agg(
-        F.sort_array(F.collect_set("start_ms")).alias("starts"),
-        F.max_by("end_ms", "hook").alias("body_ms"),
+    edl = settle(edl)
+    span = F.struct(F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
+    entry = F.struct("end_ms", "keep", "reason")
+    rows = edl.select(
+        "clip_id", F.col("start_ms").alias("_t"), F.col("keep").cast("int").alias("_kind"),
+        F.when(~F.col("keep"), span).alias("_cut"), entry.alias("_p"),
+    )
+    k = on_output(rows, clip_facts(edl, hook_facts(hooks))).where("_f.body_ms is not null").select(
+        "clip_id", F.col("_t").alias("start_ms"), "_p.*", F.col("_out").alias("o_start"), "_f.starts", "_f.body_ms", "_f.targets"
     )
-    k = to_output_time(edl.where("keep"), edl, "start_ms", "o_start").join(edges, "clip_id")
     k = k.withColumn("o_end", F.col("o_start") + F.col("end_ms") - F.col("start_ms"))
     inner = F.filter(
         F.array_distinct(F.array_append("starts", F.col("body_ms"))),
-        lambda b: (b > F.col("o_start") + 1) & (b < F.col("o_end") - 1),
+        lambda b: F.col("keep") & (b > F.col("o_start") + 1) & (b < F.col("o_end") - 1),
     )
     cutpoints = F.concat(F.array("o_start"), F.array_sort(inner), F.array("o_end"))
     k = k.withColumn("_pts", cutpoints)
@@ -326,29 +349,22 @@ def hook_pieces(edl: DataFrame, hooks: DataFrame) -> DataFrame:
             )
         ).alias("p"),
     )
-    section = F.when(F.col("p.lo") >= F.col("body_ms"), -1).otherwise(
-        F.greatest(F.size(F.filter("starts", lambda s: s <= F.col("p.lo"))) - 1, F.lit(0))
-    )
     shift = F.col("start_ms") - F.col("o_start")
     return pieces.select(
         "clip_id",
         (F.col("p.lo") + shift).alias("start_ms"),
         (F.col("p.hi") + shift).alias("end_ms"),
-        F.lit(True).alias("keep"),
+        "keep",
         "reason",
-        section.cast("long").alias("section"),
-    ).unionByName(
-        edl.where("not keep")
-        .join(edges.select("clip_id"), "clip_id", "left_semi")
-        .select("clip_id", "start_ms", "end_ms", "keep", "reason", F.lit(None).cast("long").alias("section"))
+        F.when(F.col("keep"), section_at(F.col("p.lo"), F.col("starts"), F.col("body_ms"))).alias("section"),
+        "targets",
     )
 
 
 def hook_edl(edl: DataFrame, hooks: DataFrame) -> DataFrame:
     """One cut list per (clip, target hook): other hooks become ``outtake`` cuts."""
     pieces = hook_pieces(edl, hooks)
-    targets = hooks.select("clip_id", F.col("hook").alias("target"))
-    p = pieces.join(targets, "clip_id")
+    p = pieces.withColumn("target", F.explode("targets"))
     out = F.col("keep") & (F.col("section") != -1) & (F.col("section") != F.col("target"))
     return p.select(
         "clip_id",
