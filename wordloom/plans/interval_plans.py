@@ -280,7 +280,7 @@ def clamp(ws):
                    "SELECT d.clip_id || '#' || h.hook AS clip_id, d.start_ms, d.end_ms FROM drops d JOIN hooks h USING (clip_id)", "trim") + "))")
 def trims(ws):
     """The cut list of every (clip, hook), with the spans cut out."""
-    return tl.trim_variants(tl.hook_edl(ws.edl(), ws.hooks()), ws.drops()).select("clip_id", "target", *EDL_COLS[1:])
+    return tl.trim_variants(ws.edl(), ws.hooks(), ws.drops()).select("clip_id", "target", *EDL_COLS[1:])
 
 
 @query("v21_overlay_shrink", f"""
