@@ -7,7 +7,7 @@ rows that share a start are reduced to one, so a block holds at most one row per
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.settle import settle
@@ -35,19 +35,34 @@ def _time_block(df: DataFrame, col: str = "start_ms") -> Column:
 
 
 def coalesce_spans(spans: DataFrame, touch_ms: int = 1, keys: list[str] = CLIP) -> DataFrame:
-    """Merge spans whose start is at most ``touch_ms`` past the furthest end so far."""
-    one = spans.groupBy(*keys, "start_ms").agg(F.max("end_ms").alias("end_ms"))
-    r = scan(
-        one, keys, ["start_ms"], {"reach": running_max("end_ms", False)}, _time_block(one)
-    )
-    opens = F.col("reach").isNull() | (F.col("start_ms") > F.col("reach") + touch_ms)
-    r = r.withColumn("_open", opens.cast("long"))
-    r = scan(r, keys, ["start_ms"], {"island": running_sum("_open")}, _time_block(r))
-    return (
-        r.groupBy(*keys, "island")
-        .agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-        .drop("island")
-    )
+    """Merge spans whose start is at most ``touch_ms`` past the furthest end so far.
+
+    A span is shuffled once, to its block, and merged there. Only the last run of a block, and the runs that an
+    earlier block reaches, can go on elsewhere; these few meet again. Spans without a key or a start are left out.
+    """
+    block = [*keys, "_blk"]
+    dealt = spans.select(*keys, "start_ms", "end_ms", _time_block(spans).alias("_blk"))
+    # dealt as the steps below need it; rows and block summaries share it, as long as joins filter nothing more below it
+    dealt = dealt.where(" and ".join(f"{c} is not null" for c in block)).repartition(*block)
+    one = dealt.groupBy(*block, "start_ms").agg(F.max("end_ms").alias("end_ms"))
+    w = Window.partitionBy(*block).orderBy("start_ms")
+    reach = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    r = one.withColumn("_open", F.coalesce(F.col("start_ms") > reach + touch_ms, F.lit(True)).cast("long"))
+    r = r.withColumn("_run", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = r.groupBy(*block, "_run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = runs.groupBy(*block).agg(F.max("end_ms").alias("_end"), F.max("start_ms").alias("_tail"))
+    blocks = blocks.withColumn("_reach", F.max("_end").over(before))
+    opens = F.coalesce(F.col("start_ms") > F.col("_reach") + touch_ms, F.lit(True))
+    tail_opens = F.coalesce(F.col("_tail") > F.col("_reach") + touch_ms, F.lit(True))
+    owner = F.last(F.when(tail_opens, F.col("_tail")), ignorenulls=True).over(before)
+    each = runs.join(blocks.select(*block, "_tail", "_reach", owner.alias("_owner")), block)
+    within = each.where(opens & (F.col("start_ms") < F.col("_tail"))).select(*keys, "start_ms", "end_ms")
+    edges = each.where(~opens | (F.col("start_ms") == F.col("_tail")))
+    edges = edges.withColumn("_owner", F.when(opens, F.col("start_ms")).otherwise(F.col("_owner")))
+    joined = edges.groupBy(*keys, "_owner").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    return within.unionByName(joined.drop("_owner"))
 
 
 def merge_to_first_end(ranges: DataFrame, keys: list[str] = CLIP) -> DataFrame:

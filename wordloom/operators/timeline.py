@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.scan import following, lag, last, lead, running_max, running_sum, scan, total
+from wordloom.functions.scan import block_ms, following, lag, last, lead, running_max, running_sum, scan, total
 from wordloom.functions.settle import settle
 from wordloom.operators.intervals import (
     BUCKET_MS,
@@ -255,27 +255,47 @@ def kept_inside(spans: DataFrame, edl: DataFrame) -> DataFrame:
 
 
 def stale_spans(spans: DataFrame, edl: DataFrame, tol_ms: int = 2) -> DataFrame:
-    """Spans of which an edge no longer sits on a cut edge or a clip edge of the cut list."""
-    runs = cut_spans(edl)
-    keeps = edl.where("keep").groupBy("clip_id").agg(
-        F.min_by("start_ms", "start_ms").alias("first_ms"), F.max_by("end_ms", "start_ms").alias("last_ms")
-    )
-    starts = runs.select("clip_id", F.col("end_ms").alias("at")).unionByName(
-        keeps.select("clip_id", F.col("first_ms").alias("at"))
-    )
-    ends = runs.select("clip_id", F.col("start_ms").alias("at")).unionByName(
-        keeps.select("clip_id", F.col("last_ms").alias("at"))
-    )
-
-    def sits(df, col, on):
-        near = F.sequence(F.col("at") - tol_ms + 1, F.col("at") + tol_ms - 1)
-        m = on.select("clip_id", F.explode(near).alias(col)).distinct()
-        return df.join(m, ["clip_id", col], "left_semi")
+    """Spans of which an edge no longer sits on a cut edge or a clip edge of the cut list.
 
-    good = sits(sits(spans, "start_ms", starts), "end_ms", ends)
-    return spans.join(good, ["clip_id", "start_ms", "end_ms"], "left_anti").select(
-        "clip_id", "start_ms", "end_ms"
-    )
+    Edges of spans and of cut runs meet once, in order and by block of time: each edge of a span finds the latest
+    run's edge up to its tolerance (those near a block's end stand in the next one too). Only edges that sit nowhere
+    meet by span again.
+    """
+    keeps = edl.where("keep").groupBy("clip_id").agg(
+        F.min("start_ms").alias("first_ms"), F.max_by("end_ms", "start_ms").alias("last_ms")
+    )
+    size, slack = block_ms(spans.sparkSession), tol_ms - 1
+
+    def edges(df, start, end, own):
+        """``_t`` and ``_kind`` of both edges: 0 and 1 where spans may start and end, 2 and 3 where they do, behind the slack."""
+        kind, past = (2, slack) if own else (0, 0)
+        length = F.col(end) - F.col(start)
+        rows = F.array(*[
+            F.struct((F.col(c) + past).alias("_t"), F.lit(kind + i).alias("_kind"), (length if own else F.lit(None).cast("long")).alias("_len"))
+            for i, c in enumerate((start, end))
+        ])
+        return df.select("clip_id", F.inline(rows))
+
+    # a span may start where a cut run ends and end where one starts
+    marks = edges(cut_spans(edl), "end_ms", "start_ms", False).unionByName(edges(keeps, "first_ms", "last_ms", False))
+    here, there = F.floor(F.col("_t") / size), F.floor((F.col("_t") + 2 * slack) / size)
+    marks = marks.withColumn("_blk", F.explode(F.sequence(here, there)))
+    both = marks.unionByName(edges(spans, "start_ms", "end_ms", True).withColumn("_blk", here))
+    up_to = Window.partitionBy("clip_id", "_blk").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = [F.max(F.when(F.col("_kind") == k, F.col("_t"))).over(up_to) for k in (0, 1)]
+    is_start, at = F.col("_kind") == 2, F.col("_t") - slack
+    r = both.withColumns({"_a": found[0], "_b": found[1]}).where("_kind >= 2")
+    sits = F.coalesce(F.col("_t") - F.when(is_start, F.col("_a")).otherwise(F.col("_b")) <= 2 * slack, F.lit(False))
+    lost = r.where(~sits).select(
+        "clip_id",
+        F.when(is_start, at).otherwise(at - F.col("_len")).alias("start_ms"),
+        F.when(is_start, at + F.col("_len")).otherwise(at).alias("end_ms"),
+        is_start.cast("long").alias("_start"),
+    )
+    # a span may have lost both; equal spans are lost alike
+    times = F.greatest(F.sum("_start"), F.sum(1 - F.col("_start"))).cast("int")
+    n = lost.groupBy("clip_id", "start_ms", "end_ms").agg(times.alias("_n"))
+    return n.select("clip_id", F.inline(F.array_repeat(F.struct("start_ms", "end_ms"), F.col("_n"))))
 
 
 def clamp_to_hook(cues: DataFrame, hook_end: DataFrame) -> DataFrame:
