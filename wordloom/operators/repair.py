@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.functions import text as tx
 from wordloom.functions.scan import (
+    block_rows,
     following,
     last,
     neighbours,
@@ -20,6 +23,7 @@ from wordloom.functions.scan import (
     total,
 )
 from wordloom.functions.settle import settle
+from wordloom.functions.strips import list_parts
 from wordloom.operators.intervals import CLIP, _time_block
 from wordloom.operators.timeline import latest_mark
 from wordloom.operators.words import sentence_boundaries, with_next
@@ -234,7 +238,8 @@ def spoken_tokens(word: Column) -> Column:
             F.when((rest > 0) | (n == 0), F.get(halves, F.lit(1))),
         ),
     ).otherwise(digits)
-    return F.when(digits.isNotNull(), F.split(text, " ")).otherwise(F.array(word))
+    number = F.when(digits.isNotNull(), F.split(text, " ")).otherwise(F.array(word))
+    return F.when(word.rlike("[0-9]"), number).otherwise(F.array(word))
 
 
 def expand_spoken(words: DataFrame) -> DataFrame:
@@ -358,12 +363,78 @@ def match_heard(expected: DataFrame, heard: DataFrame) -> DataFrame:
     return kept.select("clip_id", F.inline("pairs")).union(later.select("clip_id", F.inline("pairs")))
 
 
-def collapse_spoken(words: DataFrame, aligned: DataFrame, min_conf: float = 0.0) -> DataFrame:
-    """``words`` with the times of their ``aligned`` tokens (clip_id, j, token, start_ms, end_ms, conf).
-
-    A word of one token takes the times and confidence of the token matched to it, unless that is under
-    ``min_conf``; a number spans the tokens matched to it, with their mean confidence. Else a word stays.
+_TIMES = T.StructType().add("s", "long").add("e", "long").add("c", "double")
+
+
+@F.arrow_udf(T.ArrayType(_TIMES))
+def _walked(words: pa.Array, said: pa.Array, starts: pa.Array, ends: pa.Array, confs: pa.Array) -> pa.Array:
+    """Per clip, for each word (a list of tokens): start, end and mean confidence of the heard tokens matched to it by
+    one pointer over ``said``, or null."""
+    at, parts = list_parts(words)
+    tokens_at, tokens = list_parts(parts)
+    heard_at, heard = list_parts(said)
+    codes = pa.concat_arrays([tokens, heard]).dictionary_encode().indices
+    codes = codes.fill_null(-1).to_numpy(zero_copy_only=False)
+    want = codes[: len(tokens)].tolist()
+    got = np.where(codes < 0, -2, codes)[len(tokens) :].tolist()
+    first, bounds = [], tokens_at.tolist()
+    after = np.empty(len(words), np.int64)
+    for row in range(len(words)):
+        r, stop = int(heard_at[row]), int(heard_at[row + 1])
+        for w in range(int(at[row]), int(at[row + 1])):
+            first.append(r)
+            for k in range(bounds[w], bounds[w + 1]):
+                if r < stop and got[r] == want[k]:
+                    r += 1
+        after[row] = r
+    begin = np.array(first, np.int64)
+    upto = np.append(begin[1:], 0) if len(begin) else begin
+    filled = np.diff(at) > 0
+    upto[at[1:][filled] - 1] = after[filled]
+    n = upto - begin
+    hit = n > 0
+    s, e, c = (list_parts(x)[1].to_numpy(zero_copy_only=False) for x in (starts, ends, confs))
+    value = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.zeros(len(n))
+    if hit.any():
+        value[0][hit], value[1][hit] = s[begin[hit]], e[upto[hit] - 1]
+        # the matched tokens of a clip follow each other, so a word's are one stretch of them
+        taken = np.concatenate([c[heard_at[i] : after[i]] for i in np.flatnonzero(filled)])
+        value[2][hit] = np.add.reduceat(taken, np.cumsum(n[hit]) - n[hit]) / n[hit]
+    found = pa.StructArray.from_arrays([pa.array(v) for v in value], _TIMES.names, mask=pa.array(~hit))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), found)
+
+
+def _with_found(words: DataFrame, aligned: DataFrame, long: DataFrame | None) -> DataFrame:
+    """``words`` with ``found``: start, end and mean confidence of the tokens matched to each.
+
+    A clip within one block of words (and of ``_PLACES`` times as many heard tokens) is one row and one walk; longer
+    ones are matched by stretches.
     """
+    size = block_rows(words.sparkSession)
+    w_in, a_in = F.col("pos").between(0, size - 1), F.col("j").between(0, _PLACES * size - 1)
+    if long is None:
+        long = words.where(~w_in).select("clip_id").union(aligned.where(~a_in).select("clip_id"))
+    long = settle(long.distinct(), 0)
+    some_long = not long.isEmpty()
+
+    def short(df):
+        return df.join(long, "clip_id", "left_anti") if some_long else df
+
+    norms = F.transform(spoken_tokens(F.col("word")), tx.strip_tail)
+    w = short(words.where(w_in)).groupBy("clip_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "word", "start_ms", "end_ms", "conf", norms.alias("norms")))).alias("ws")
+    )
+    a = short(aligned.where(a_in)).groupBy("clip_id").agg(
+        F.array_sort(F.collect_list(F.struct("j", tx.strip_tail(F.col("token")).alias("norm"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col("conf").alias("c")))).alias("hs")
+    )
+    walk = _walked("ws.norms", "hs.norm", "hs.s", "hs.e", "hs.c")
+    each = w.join(a, "clip_id", "left").select("clip_id", "ws", walk.alias("found"))
+    cols = ["clip_id", "pos", "word", "start_ms", "end_ms", "conf", "found", "number"]
+    each = each.select("clip_id", F.inline(F.arrays_zip("ws", "found"))).select("clip_id", "ws.*", "found")
+    each = each.withColumn("number", F.size("norms") > 1).select(*cols)
+    if not some_long:
+        return each
+    words, aligned = words.join(long, "clip_id", "left_semi"), aligned.join(long, "clip_id", "left_semi")
     tokens = words.select("clip_id", "pos", F.posexplode(spoken_tokens(F.col("word"))).alias("k", "token"))
     tokens = tokens.select("clip_id", (F.col("pos") * _PLACES + F.col("k")).alias("i"), tx.strip_tail(F.col("token")).alias("norm"))
     heard = aligned.select("clip_id", "j", tx.strip_tail(F.col("token")).alias("norm"))
@@ -372,15 +443,26 @@ def collapse_spoken(words: DataFrame, aligned: DataFrame, min_conf: float = 0.0)
         match_heard(tokens, heard)
         .join(times, ["clip_id", "j"])
         .groupBy("clip_id", F.floor(F.col("i") / _PLACES).alias("pos"))
-        .agg(F.min_by("s", "j").alias("s"), F.max_by("e", "j").alias("e"), F.avg("c").alias("c"))
+        .agg(F.struct(F.min_by("s", "j").alias("s"), F.max_by("e", "j").alias("e"), F.avg("c").alias("c")).alias("found"))
     )
-    out = words.join(found, ["clip_id", "pos"], "left")
-    number = F.size(spoken_tokens(F.col("word"))) > 1
-    takes = F.coalesce(F.col("s").isNotNull() & (number | (F.col("c") >= min_conf)), F.lit(False))
-    return out.select(
+    rest = words.join(found, ["clip_id", "pos"], "left").withColumn("number", F.size(spoken_tokens(F.col("word"))) > 1)
+    return each.unionByName(rest.select(*cols))
+
+
+def collapse_spoken(words: DataFrame, aligned: DataFrame, min_conf: float = 0.0, long: DataFrame | None = None) -> DataFrame:
+    """``words`` with the times of their ``aligned`` tokens (clip_id, j, token, start_ms, end_ms, conf).
+
+    A word of one token takes the times and confidence of the token matched to it, unless that is under
+    ``min_conf``; a number spans the tokens matched to it, with their mean confidence. Else a word stays.
+    ``long(clip_id)``, if known without the rows, has at least every clip with a ``pos`` from ``block_rows`` or a ``j``
+    from ``_PLACES`` times that on.
+    """
+    found = F.col("found")
+    takes = F.coalesce(found["s"].isNotNull() & (F.col("number") | (found["c"] >= min_conf)), F.lit(False))
+    return _with_found(words, aligned, long).select(
         "clip_id", "pos", "word",
-        F.when(takes, F.col("s")).otherwise(F.col("start_ms")).alias("start_ms"),
-        F.when(takes, F.col("e")).otherwise(F.col("end_ms")).alias("end_ms"),
-        F.when(takes, F.col("c")).otherwise(F.col("conf")).alias("conf"),
+        F.when(takes, found["s"]).otherwise(F.col("start_ms")).alias("start_ms"),
+        F.when(takes, found["e"]).otherwise(F.col("end_ms")).alias("end_ms"),
+        F.when(takes, found["c"]).otherwise(F.col("conf")).alias("conf"),
         takes.alias("aligned"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wordloom.functions.scan import block_rows
 from wordloom.operators import repair as rp
 from wordloom.operators import words as wd
 from wordloom.plans.oracle_views import view
@@ -139,16 +140,16 @@ SELECT clip_id, pos, word, CASE WHEN aligned THEN s ELSE start_ms END AS start_m
 """)
 def collapse(ws):
     words = number_words(ws)
-    tokens = rp.expand_spoken(words)
-    heard = tokens.where((F.col("pos") * 5 + F.col("k") * 3) % 9 != 4).join(
-        words.select("clip_id", "pos", F.col("start_ms").alias("from_ms")), ["clip_id", "pos"]
-    )
+    tokens = words.select("clip_id", "pos", F.col("start_ms").alias("from_ms"), F.posexplode(rp.spoken_tokens(F.col("word"))).alias("k", "token"))
+    heard = tokens.where((F.col("pos") * 5 + F.col("k") * 3) % 9 != 4)
     start = F.col("from_ms") + 5 * F.col("k")
     heard = heard.select(
         "clip_id", (F.col("pos") * 16 + F.col("k")).alias("j"), "token", (start + 40).alias("start_ms"), (start + 60).alias("end_ms"),
         F.when(F.col("pos") % 7 == 2, 0.125).otherwise(0.75).alias("conf"),
     )
-    return rp.collapse_spoken(words.withColumn("conf", F.lit(0.5)), heard, 0.25)
+    # a text has fewer words than characters
+    long = ws.strips().where(F.col("pos0") + F.char_length("text") >= block_rows(ws.spark)).select("clip_id")
+    return rp.collapse_spoken(words.withColumn("conf", F.lit(0.5)), heard, 0.25, long)
 
 
 @query("d09_monotonic_repair")
