@@ -112,7 +112,13 @@ def feed_stages(
 
 
 def without_rejected(articles: DataFrame, rejected: DataFrame) -> DataFrame:
-    return articles.join(rejected.select(F.col("source_url").alias("url")), "url", "left_anti")
+    """Articles whose URL was not rejected.
+
+    They meet on the boxed URL: from an equality of plain columns the optimizer carries filters over ``url`` to
+    the rejections, where those that read an article's text as well find no such column.
+    """
+    gone = rejected.where("source_url is not null").select(F.struct(F.col("source_url").alias("url")).alias("_key"))
+    return articles.withColumn("_key", F.struct("url")).join(gone, "_key", "left_anti").drop("_key")
 
 
 def carry_status(articles: DataFrame, previous: DataFrame) -> DataFrame:
